@@ -43,10 +43,40 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_documents(_table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.toxicity import score_toxicity, train_on
+
+    docs = _table(spark, sf_dir, "documents")
+    return score_toxicity(docs, train_on(docs, _table(spark, sf_dir, "labels")))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.quality import judge, train_on
+
+    docs = _table(spark, sf_dir, "documents")
+    return judge(docs, train_on(docs, _table(spark, sf_dir, "labels")))
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.bpe import encode_documents
+
+    return encode_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.langid import identify
+
+    return identify(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_url_filter": op1_url_filter,
     "op2_warc": op2_warc,
+    "op3_toxicity": op3_toxicity,
     "op4_packing": op4_packing,
+    "op6_quality": op6_quality,
+    "op7_bpe": op7_bpe,
+    "op8_language": op8_language,
     "op9_secret_scan": op9_secret_scan,
 }
 
