@@ -50,6 +50,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, train_on(docs, _table(spark, sf_dir, "labels")))
 
 
+def op5_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.vector_dedup import link_vectors
+
+    return link_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.quality import judge, train_on
 
@@ -69,15 +75,23 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents"))
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.minhash import near_copies
+
+    return near_copies(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_url_filter": op1_url_filter,
     "op2_warc": op2_warc,
     "op3_toxicity": op3_toxicity,
     "op4_packing": op4_packing,
+    "op5_vector_dedup": op5_vector_dedup,
     "op6_quality": op6_quality,
     "op7_bpe": op7_bpe,
     "op8_language": op8_language,
     "op9_secret_scan": op9_secret_scan,
+    "op10_minhash": op10_minhash,
 }
 
 ORACLES: dict[str, str] = {}
