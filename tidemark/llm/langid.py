@@ -271,3 +271,21 @@ def identify(docs: DataFrame, model: LanguageModel | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), batch.column(1).slice(at, n), pa.array(names, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(label, "doc_id bigint, held_out boolean, lang_pred string, score double")
+
+
+def keep_languages(docs: DataFrame, model: LanguageModel | None = None, languages: tuple[str, ...] | None = None, min_score: float = 0.3) -> DataFrame:
+    """The rows of docs, with all their columns, that are in one of `languages` (None: any learned one) with at least min_score."""
+    bounded_batches(docs.sparkSession)
+    model = model or train_on(docs)
+    at_text = docs.columns.index("text")
+    wanted = set(model.languages if languages is None else languages)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model)
+        for batch in batches:
+            for at, texts in slices(batch.column(at_text)):
+                names, score = scorer.score(texts)
+                mask = [n in wanted and s >= min_score for n, s in zip(names, score, strict=True)]
+                yield batch.slice(at, len(texts)).filter(pa.array(mask, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

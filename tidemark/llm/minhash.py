@@ -245,3 +245,13 @@ def near_copies(docs: DataFrame, how: NearCopies = NearCopies()) -> DataFrame:
     found = signed.select("doc_id", "k1", "k2").join(classes, ["k1", "k2"]).select("doc_id", "class_id")
     alone = docs.where(F.col("doc_id").isNull() | F.col("text").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("doc_id", F.col("doc_id").alias("class_id"))
     return found.unionByName(alone).select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+
+
+def keep_one_of_each(docs: DataFrame, how: NearCopies = NearCopies()) -> DataFrame:
+    """The rows of docs, with all their columns, less all but one of each class; of rows that share a doc_id one stays. Rows with a null doc_id stay."""
+    dropped = cut(near_copies(docs, how).where(~F.col("kept")).select("doc_id").distinct(), "dropped")
+    ids = docs.where(F.col("doc_id").isNotNull()).select("doc_id")
+    repeated = cut(ids.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    rest = docs.join(dropped.unionByName(repeated), "doc_id", "left_anti").select(docs.columns)
+    once = docs.join(repeated.join(dropped, "doc_id", "left_anti"), "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
+    return rest.unionByName(once)

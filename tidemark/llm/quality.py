@@ -127,6 +127,19 @@ def train_on(docs: DataFrame, labels: DataFrame, how: Training = Training()) ->
     return train(labelled_sample(docs, labels, "quality", how.docs, how.max_chars, ~held_out()), how)
 
 
+def _shared(docs: DataFrame, model: QualityModel | None):
+    bounded_batches(docs.sparkSession)
+    return docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size: one weight per bucket
+
+
+def _verdicts(texts: pa.Array, model: QualityModel | None) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """(measures, base failed, probability) of each text."""
+    t = Texts(texts)
+    m = measures(t)
+    failed = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * m["n_words"])
+    return m, failed, model.probability(t) if model is not None else np.ones(t.n)
+
+
 def judge(docs: DataFrame, model: QualityModel | None, min_probability: float = MIN_PROBABILITY) -> DataFrame:
     """doc_id, the measures, base_failed, probability and kept for every row.
 
@@ -136,19 +149,27 @@ def judge(docs: DataFrame, model: QualityModel | None, min_probability: float =
     give a row; columns other than doc_id and text aren't read; an empty table gives an
     empty result.
     """
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    shared = spark.sparkContext.broadcast(model)  # of a fixed size: one weight per bucket
+    shared = _shared(docs, model)
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "probability"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in slices(batch.column(1)):
-                t = Texts(texts)
-                m = measures(t)
-                failed = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * m["n_words"])
-                p = shared.value.probability(t) if shared.value is not None else np.ones(t.n)
-                columns = [batch.column(0).slice(at, t.n), *(pa.array(m[k], pa.int64()) for k in names[1:6]), pa.array(failed), pa.array(~failed & (p >= min_probability)), pa.array(p.astype(float))]
+                m, failed, p = _verdicts(texts, shared.value)
+                columns = [batch.column(0).slice(at, len(texts)), *(pa.array(m[k], pa.int64()) for k in names[1:6]), pa.array(failed), pa.array(~failed & (p >= min_probability)), pa.array(p.astype(float))]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     return docs.select("doc_id", "text").mapInArrow(score, "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean, probability double")
+
+
+def keep_good(docs: DataFrame, model: QualityModel | None, min_probability: float = MIN_PROBABILITY) -> DataFrame:
+    """The rows of docs, with all their columns, that `judge` keeps."""
+    shared, at_text = _shared(docs, model), docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, texts in slices(batch.column(at_text)):
+                _, failed, p = _verdicts(texts, shared.value)
+                yield batch.slice(at, len(texts)).filter(pa.array(~failed & (p >= min_probability)))
+
+    return docs.mapInArrow(keep, docs.schema)
