@@ -218,7 +218,7 @@ def decode_protobuf(data: DataFrame, schema: T.StructType, column: str = "value"
 
 def _decode(data: DataFrame, column: str, target: T.StructType, make) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read, arrow = make(), to_arrow_schema(target, timezone="UTC")
+        read, arrow = make(), to_arrow_schema(target)
         for batch in batches:
             rows = [read(x.as_py()) for x in batch.column(0)]
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)

@@ -71,7 +71,7 @@ class Table:
     # --- events
 
     def _event_schema(self, m: Manifest) -> T.StructType:
-        fields = [("op", T.StringType()), ("lsn", T.LongType()), ("seq", T.IntegerType()), ("xact_id", T.IntegerType()), ("delete_if_exists", T.BooleanType()), ("r", m.struct)]
+        fields = [("op", T.StringType()), ("lsn", T.LongType()), ("seq", T.IntegerType()), ("xact_id", T.IntegerType()), ("delete_if_exists", T.BooleanType()), ("r", nullable(m.struct))]
         return T.StructType([T.StructField(n, t) for n, t in fields])
 
     def write_events(self, events: DataFrame, source: str | None = None, batch_id: int | None = None) -> Manifest:
@@ -81,7 +81,7 @@ class Table:
             return m
         folder = f"{self.path}/wal/{uuid.uuid4().hex}"
         wanted = self._event_schema(m)
-        events = events.select("op", F.col("lsn").cast("bigint"), F.col("seq").cast("int"), F.col("xact_id").cast("int"), "delete_if_exists", F.col("r").cast(m.struct).alias("r"))
+        events = events.select("op", F.col("lsn").cast("bigint"), F.col("seq").cast("int"), F.col("xact_id").cast("int"), "delete_if_exists", F.col("r").cast(nullable(m.struct)).alias("r"))
         events.write.parquet(folder)
         kept = self.spark.read.schema(wanted).parquet(folder)
         stats = kept.agg(F.max("lsn"), F.max(F.when(F.col("op") == "C", F.col("lsn"))), F.count(F.when(F.col("op") == "A", 1)), F.count("*")).first()
@@ -388,6 +388,13 @@ class Table:
         return len(gone)
 
 
+def nullable(kind: T.DataType) -> T.DataType:
+    """The type with nulls allowed throughout: a delete by key has no other values, a commit has none."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, nullable(f.dataType), True, f.metadata) for f in kind.fields])
+    return T.ArrayType(nullable(kind.elementType), True) if isinstance(kind, T.ArrayType) else kind
+
+
 def bounded_columns(schema: T.StructType) -> list[str]:
     """Columns with an order."""
     return [f.name for f in schema.fields if not isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType, T.BinaryType, T.VariantType))]
