@@ -11,6 +11,7 @@ buckets, and pairs are checked on their whole sets:
 1. Each member of a bucket against the bucket's smallest member.
 2. What is then still in different components of one bucket: every such pair whose
    registers agree well enough, in tiles, so a bucket of any size is split over tasks.
+   Pairs are checked where their tiles meet; rows with sets travel, pairs don't.
 
 So a group of near copies costs a check for each copy and bucket leader, not for each
 pair, and no candidate pair between different components is left out.
@@ -42,7 +43,7 @@ class NearCopies:
     bands: int = 24
     rows: int = 5
     floor: float = 0.62
-    tile: int = 512
+    tile: int = 256
 
 
 def shingles(t: Texts, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,7 +95,7 @@ def weights(count: np.ndarray) -> np.ndarray:
 
 
 def _signatures(how: NearCopies):
-    names = ["doc_id", "k1", "k2", "bands", "registers"]
+    names = ["doc_id", "k1", "k2", "buckets", "bands", "registers"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,7 +114,7 @@ def _signatures(how: NearCopies):
                     band = mix(band + np.arange(how.bands, dtype=np.uint64))
                 short = (mix(held[here]) & np.uint64(0xFFFF)).astype(np.uint16)
                 offsets = pa.array(np.arange(len(here) + 1) * how.bands, pa.int32())
-                columns = [batch.column(0).slice(at, t.n).take(pa.array(here)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(band.ravel().view(np.int64))), pa.array([x.tobytes() for x in short], pa.binary())]
+                columns = [batch.column(0).slice(at, t.n).take(pa.array(here)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(band.ravel().view(np.int64))), pa.array([x.tobytes() for x in band], pa.binary()), pa.array([x.tobytes() for x in short], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
@@ -181,22 +182,59 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield held
 
 
+_TILED = "bucket bigint, i int, j int, rep bigint, component bigint, tile int, bands binary, registers binary"
+
+
+def _candidates(group: pa.Table, how: NearCopies) -> Iterator[tuple[int, np.ndarray]]:
+    """Of one (bucket, i, j): each row of tile i with those rows of tile j that need a check.
+
+    These are rows of another component whose registers agree on at least how.floor, in
+    the first band that the two share: so a pair is met in one of its buckets only.
+    """
+    rep, component, tile = (np.asarray(group.column(c)) for c in ("rep", "component", "tile"))
+    bucket, i, j = (group.column(c)[0].as_py() for c in ("bucket", "i", "j"))
+    reg = np.frombuffer(b"".join(x.as_py() for x in group.column("registers")), np.uint16).reshape(len(rep), -1)
+    bands = np.frombuffer(b"".join(x.as_py() for x in group.column("bands")), np.int64).reshape(len(rep), -1)
+    left, right = np.flatnonzero(tile == i), np.flatnonzero(tile == j)
+    for x in left:
+        other = right[(component[right] != component[x]) & ((rep[right] > rep[x]) if i == j else True)]
+        other = other[(reg[other] == reg[x]).mean(axis=1) >= how.floor] if len(other) else other
+        if len(other):
+            first = (bands[other] == bands[x]).argmax(axis=1)
+            other = other[bands[x][first] == bucket]
+        yield x, other
+
+
 def _agreeing(how: NearCopies):
-    """Of each (bucket, i, j): pairs of different components whose registers agree on at least how.floor."""
+    """The rows of each (bucket, i, j) that are in a candidate pair."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, 3):
+            wanted = np.zeros(group.num_rows, bool)
+            for x, other in _candidates(group, how):
+                wanted[other] = True
+                wanted[x] |= len(other) > 0
+            if wanted.any():
+                yield from group.filter(pa.array(wanted)).combine_chunks().to_batches()
+
+    return run
+
+
+def _linking(how: NearCopies):
+    """Links among the rows of each (bucket, i, j): every candidate pair is checked on its sets, unless links found here join it already. So a group gives fewer links than it has rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, 3):
-            rep, component, tile = (np.asarray(group.column(c)) for c in ("rep", "component", "tile"))
-            i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-            reg = np.frombuffer(b"".join(x.as_py() for x in group.column("registers")), np.uint16).reshape(len(rep), -1)
-            left, right = np.flatnonzero(tile == i), np.flatnonzero(tile == j)
-            out_a, out_b = [], []
-            for x in left:
-                other = right[(component[right] != component[x]) & ((rep[right] > rep[x]) if i == j else True)]
-                near = other[(reg[other] == reg[x]).mean(axis=1) >= how.floor] if len(other) else other
-                out_a.append(np.maximum(rep[near], rep[x]))
-                out_b.append(np.minimum(rep[near], rep[x]))
-            if out_a and sum(map(len, out_a)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
+            rep = np.asarray(group.column("rep"))
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("runs")]
+            joined = np.asarray(group.column("component")).copy()
+            out: list[tuple[int, int]] = []
+            for x, other in _candidates(group, how):
+                for y in other:
+                    low, high = sorted((len(sets[x]), len(sets[y])))
+                    if joined[x] != joined[y] and low >= how.similarity * high and jaccard(sets[x], sets[y]) >= how.similarity:
+                        joined[joined == joined[y]] = joined[x]
+                        out.append((max(rep[x], rep[y]), min(rep[x], rep[y])))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([int(p[k]) for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return run
 
@@ -215,11 +253,11 @@ def near_copies(docs: DataFrame, how: NearCopies = NearCopies()) -> DataFrame:
     bounded_batches(spark)
     docs = docs.select("doc_id", "text")
     named = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    signed = cut(named.mapInArrow(_signatures(how), "doc_id bigint, k1 bigint, k2 bigint, bands array<bigint>, registers binary"), "signatures")
+    signed = cut(named.mapInArrow(_signatures(how), "doc_id bigint, k1 bigint, k2 bigint, buckets array<bigint>, bands binary, registers binary"), "signatures")
     # equal sets are one row: a partial aggregate, so a group of copies of any size is small before the shuffle
-    unique = signed.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "bands", "registers")).alias("one"))
-    unique = cut(unique.select("k1", "k2", F.col("one.doc_id").alias("rep"), "one.bands", "one.registers"), "unique-documents")
-    placed = unique.select("rep", F.explode("bands").alias("bucket"))
+    unique = signed.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "buckets", "bands", "registers")).alias("one"))
+    unique = cut(unique.select("k1", "k2", F.col("one.doc_id").alias("rep"), "one.buckets", "one.bands", "one.registers"), "unique-documents")
+    placed = unique.select("rep", F.explode("buckets").alias("bucket"))
     leaders = placed.groupBy("bucket").agg(F.min("rep").alias("leader"), F.count("*").alias("members")).where("members > 1")
     shared = cut(placed.join(leaders, "bucket"), "buckets")
     pairs = shared.where("rep != leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
@@ -232,12 +270,13 @@ def near_copies(docs: DataFrame, how: NearCopies = NearCopies()) -> DataFrame:
     members = shared.where("members > 2").join(components.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "members", F.coalesce("component", "rep").alias("component"))
     mixed = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("bucket")
     tiles = F.ceil(F.col("members") / how.tile).cast("int")
-    dealt = members.join(mixed, "bucket").join(unique.select("rep", "registers"), "rep").select("bucket", "rep", "component", "registers", tiles.alias("tiles"), F.pmod(F.xxhash64("rep"), tiles).cast("int").alias("tile"))
+    dealt = members.join(mixed, "bucket").join(unique.select("rep", "bands", "registers"), "rep").select("bucket", "rep", "component", "bands", "registers", tiles.alias("tiles"), F.pmod(F.xxhash64("rep"), tiles).cast("int").alias("tile"))
     spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    grouped = spread.select("bucket", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "rep", "component", "tile", "registers")
-    second = grouped.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_agreeing(how), "a bigint, b bigint").distinct()
-    second = second.join(pairs, ["a", "b"], "left_anti")
-    more = cut(_verified(second, sets, how.similarity), "links")
+    grouped = spread.select("bucket", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "rep", "component", "tile", "bands", "registers")
+    key = ("bucket", "i", "j")
+    close = grouped.repartition(*key).sortWithinPartitions(*key).mapInArrow(_agreeing(how), _TILED)
+    second = close.join(sets, "rep").select(*[f.split()[0] for f in _TILED.split(", ")], "runs")
+    more = cut(second.repartition(*key).sortWithinPartitions(*key).mapInArrow(_linking(how), "a bigint, b bigint").distinct(), "links")
     if more.head(1):
         components = connected_components(links.unionByName(more))
 
