@@ -70,6 +70,17 @@ def entries(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate([doc, lead_doc]), np.concatenate([word, gram]), np.concatenate([SCALE / n[doc], SCALE / grams[lead_doc]])
 
 
+def summed(texts: list[str]) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """(number of texts, text, bucket, value): entries summed by text and bucket, a small slice of texts at a time, so that the driver never holds one for each character."""
+    parts = []
+    for at, part in slices(pa.array(texts, pa.large_string()), 1 << 18):
+        doc, feature, value = entries(Texts(part))
+        pair, inverse = np.unique(doc * (2 * BUCKETS) + feature, return_inverse=True)
+        parts.append((at + pair // (2 * BUCKETS), pair % (2 * BUCKETS), np.bincount(inverse, value, len(pair))))
+    doc, feature, value = (np.concatenate([p[k] for p in parts]) for k in range(3))
+    return len(texts), doc, feature, value
+
+
 def measures(t: Texts) -> dict[str, np.ndarray]:
     """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of each text."""
     start, end, doc = t.words()
@@ -112,11 +123,9 @@ def train(rows: list[tuple[str, int]], how: Training = Training()) -> QualityMod
         apart[:] = False
     parts = []
     for keep in (~apart, apart if apart.any() else ~apart):
-        t = Texts(pa.array([rows[i][0] for i in np.flatnonzero(keep)], pa.large_string()))
-        parts.append((t.n, *entries(t), y[keep]))
+        parts.append((*summed([rows[i][0] for i in np.flatnonzero(keep)]), y[keep]))
     n, doc, feature, value, target = parts[0]
-    pair, inverse = np.unique(doc * (2 * BUCKETS) + feature, return_inverse=True)
-    w, bias = fit_logistic(pair // (2 * BUCKETS), pair % (2 * BUCKETS), np.bincount(inverse, value), n, 2 * BUCKETS, target, steps=how.steps, rate=0.05, l2=1e-6)
+    w, bias = fit_logistic(doc, feature, value, n, 2 * BUCKETS, target, steps=how.steps, rate=0.05, l2=1e-6)
     n, doc, feature, value, target = parts[1]
     a, b = fit_platt(np.bincount(doc, value * w[feature], n) + bias, target)
     return QualityModel(w.astype(np.float32), bias, a, b)
