@@ -26,6 +26,17 @@ def test_language(spark):
     assert np.mean([r.lang_pred == truth[r.doc_id].lang for r in known]) > 0.9
 
 
+def test_a_language_of_blank_texts_alone(spark):
+    from tidemark.llm.langid import Training, keep_languages, train_on
+
+    said = {"en": "the river and the old house", "de": "der Fluss und das alte Haus", "es": "el rio y la casa vieja", "fr": "la maison et les vieux jardins"}
+    rows = [(i, said[lang], lang) for i, lang in enumerate(sorted(said) * 20)] + [(i, "\n \t", "zz") for i in range(80, 100)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = train_on(docs, Training(steps=150))
+    assert model.net is not None and model.languages == sorted(said)
+    assert {r.doc_id for r in keep_languages(docs, model).collect()} == set(range(80))
+
+
 @given
 def test_toxicity(spark):
     truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}

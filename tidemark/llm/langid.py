@@ -160,19 +160,18 @@ def segments(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def train(texts: list[str], labels: list[str], how: Training = Training()) -> LanguageModel:
-    """Fit on (text, language) pairs; segments are drawn alike from each language."""
-    languages = sorted(set(labels))
-    counts = np.array([labels.count(x) for x in languages], float)
+    """Fit on (text, language) pairs; segments are drawn alike from each language. Texts without a word teach nothing, nor does a language that has no others."""
+    t = Texts(pa.array(texts, pa.large_string()))
+    start, end, doc = segments(t)
+    worded = [labels[i] for i in np.unique(doc)]
+    languages = sorted(set(worded))
+    counts = np.array([worded.count(x) for x in languages], float)
     prior = counts / max(1.0, counts.sum())
     if len(languages) < 2:
         return LanguageModel(languages, None, prior)
     rng = np.random.default_rng(how.seed)
-    t = Texts(pa.array(texts, pa.large_string()))
-    start, end, doc = segments(t)
-    y = np.array([languages.index(x) for x in labels])[doc] if len(doc) else np.empty(0, int)
+    y = np.array([languages.index(x) if x in languages else -1 for x in labels])[doc]
     pools = [np.flatnonzero(y == c) for c in range(len(languages))]
-    if any(not len(x) for x in pools):
-        return LanguageModel(languages, None, prior)
     net = ByteGRU(len(languages), how.hidden, how.embed, how.seed)
     first = {k: np.zeros_like(v) for k, v in net.p.items()}
     second = {k: np.zeros_like(v) for k, v in net.p.items()}
@@ -241,8 +240,8 @@ SHARP = 40
 
 
 def training_sample(docs: DataFrame, how: Training) -> tuple[list[str], list[str]]:
-    """At most how.docs labelled texts, those whose ids have the smallest hashes."""
-    known = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out() & (F.length("text") <= how.max_chars))
+    """At most how.docs labelled texts with a word, those whose ids have the smallest hashes."""
+    known = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]") & ~held_out() & (F.length("text") <= how.max_chars))
     ids = known.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(how.docs).select("doc_id").distinct()
     rows = known.select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
     return [r["text"] for r in rows], [r["lang"] for r in rows]
