@@ -241,6 +241,21 @@ def test_near_copies(spark):
     assert {r.doc_id for r in keep_one_of_each(docs).collect()} == set(want.values())
 
 
+def test_near_copies_that_repeat_a_passage(spark):
+    rng = random.Random(11)
+    rows = []
+    for k in range(60):
+        first = [str(rng.randrange(10**6)) for _ in range(400)]
+        copy = list(first)
+        for _ in range(5):
+            copy[rng.randrange(400)] = str(rng.random())
+        for i, w in ((2 * k, first + first[:80] * 49), (2 * k + 1, copy)):
+            rows.append((i, " ".join(w), {tuple(w[j : j + 5]) for j in range(len(w) - 4)}))
+    assert all(len(a & b) >= 0.8 * len(a | b) for (_, _, a), (_, _, b) in zip(rows[::2], rows[1::2], strict=True))
+    got = near_copies(spark.createDataFrame([r[:2] for r in rows], DOCS)).collect()
+    assert {r.doc_id: r.class_id for r in got} == {i: i - i % 2 for i, _, _ in rows}
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(5)
     seeds = rng.standard_normal((6, 16))

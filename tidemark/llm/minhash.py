@@ -1,9 +1,10 @@
 """Near-duplicate documents by ProbMinHash, banding and verification.
 
-A document is its runs of five words, each with a weight that grows with its count.  Each
-run sends exponential arrivals at its weight's rate to random registers; a register keeps
-its first arrival's run, and a run stops sending once its time is past every register of
-the document.  Two registers agree with the documents' probability Jaccard similarity.
+A document is its set of runs of five words.  Each run sends exponential arrivals to
+random registers, all runs at the same rate however often they stand in the text; a
+register keeps its first arrival's run, and a run stops sending once its time is past
+every register of the document.  So two registers agree with the Jaccard similarity of
+the documents' sets, which is what pairs are checked on.
 
 Documents with equal sets of runs are one row from then on.  Registers in bands give
 buckets, and pairs are checked on their whole sets:
@@ -46,8 +47,8 @@ class NearCopies:
     tile: int = 256
 
 
-def shingles(t: Texts, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, run, count), by text and run. A text of fewer words than `size` has one run, of all of them."""
+def shingles(t: Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, run) without repeats, by text and run. A text of fewer words than `size` has one run, of all of them."""
     start, end, doc = t.words()
     h = t.hashes(start, end)
     first, run = windows(h, doc, size)
@@ -63,15 +64,14 @@ def shingles(t: Texts, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     d, s = d[order], s[order]
     new = np.ones(len(d), bool)
     new[1:] = (d[1:] != d[:-1]) | (s[1:] != s[:-1])
-    at = np.flatnonzero(new)
-    return d[at], s[at], np.diff(np.append(at, len(d)))
+    return d[new], s[new]
 
 
-def prob_minhash(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_docs: int, registers: int) -> np.ndarray:
+def prob_minhash(doc: np.ndarray, element: np.ndarray, n_docs: int, registers: int) -> np.ndarray:
     """Register contents [n_docs, registers]: the element that arrived first. Texts without elements keep zeros.
 
-    Arrivals of one element form a Poisson process with its weight's rate, the same in
-    every text but for that rate; all texts of a batch take their next arrivals together.
+    Arrivals of one element form a Poisson process of rate 1, the same in every text; all
+    texts of a batch take their next arrivals together.
     """
     first = np.full(n_docs * registers, np.inf)
     held = np.zeros(n_docs * registers, np.uint64)
@@ -80,20 +80,16 @@ def prob_minhash(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_doc
         with np.errstate(over="ignore"):
             seed = seed + _STEP
         bits = mix(seed)
-        time = time - np.log(((bits >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / weight
+        time = time - np.log(((bits >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53)
         slot = doc * registers + (mix(bits) % np.uint64(registers)).astype(np.int64)
         np.minimum.at(first, slot, time)
         won = first[slot] == time
         held[slot[won]] = element[won]
         going = time < first.reshape(n_docs, registers).max(axis=1)[doc]
-        doc, element, weight, time, seed = doc[going], element[going], weight[going], time[going], seed[going]
+        doc, element, time, seed = doc[going], element[going], time[going], seed[going]
     return held.reshape(n_docs, registers)
 
 
-def weights(count: np.ndarray) -> np.ndarray:
-    return 1 + np.log(count)
-
-
 def _signatures(how: NearCopies):
     names = ["doc_id", "k1", "k2", "buckets", "bands", "registers"]
 
@@ -101,8 +97,8 @@ def _signatures(how: NearCopies):
         for batch in batches:
             for at, texts in slices(batch.column(1)):
                 t = Texts(texts)
-                doc, run_, count = shingles(t, how.words)
-                held = prob_minhash(doc, run_, weights(count), t.n, how.bands * how.rows)
+                doc, run_ = shingles(t, how.words)
+                held = prob_minhash(doc, run_, t.n, how.bands * how.rows)
                 here, starts = np.unique(doc, return_index=True)
                 with np.errstate(over="ignore"):
                     # sums over a set don't depend on order: 128 bits name the set
@@ -126,7 +122,7 @@ def _sets(size: int):
         for batch in batches:
             for at, texts in slices(batch.column(1)):
                 t = Texts(texts)
-                doc, run_, _ = shingles(t, size)
+                doc, run_ = shingles(t, size)
                 cuts = np.searchsorted(doc, np.arange(t.n + 1))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, t.n), pa.array([run_[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], ["rep", "runs"])
 
