@@ -99,6 +99,29 @@ def test_warc(spark, tmp_path):
         assert block == ((html[page] or "").encode() if fields["WARC-Type"] == "response" else b"")
 
 
+def test_warc_query_reads_rebuilt_records(spark, tmp_path, monkeypatch):
+    from pyspark.errors import PySparkException
+    from pyspark.sql import functions as F
+
+    from tidemark.llm import warc_store
+    from tidemark.llm.queries import op2_warc
+
+    rows = [(1, "http://x/", "<p>\u00e4</p>"), (2, "http://x/", "<p>\u00e4</p>"), (3, None, None)]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in op2_warc(spark, str(tmp_path)).collect()) == [(1, 9, "revisit", 2), (2, 9, "response", None), (3, 0, "response", None)]
+    write = warc_store.write_archive
+
+    def one_byte_short(pages, path):
+        write(pages, f"{path}-whole")
+        spark.read.parquet(f"{path}-whole/payloads").write.parquet(f"{path}/payloads")
+        heads = spark.read.parquet(f"{path}-whole/headers")
+        heads.withColumn("header", F.encode(F.replace(F.decode("header", "UTF-8"), F.lit("Content-Length: 9"), F.lit("Content-Length: 8")), "UTF-8")).write.parquet(f"{path}/headers")
+
+    monkeypatch.setattr(warc_store, "write_archive", one_byte_short)
+    with pytest.raises(PySparkException, match="record damaged"):
+        op2_warc(spark, str(tmp_path)).collect()
+
+
 # ---- secrets
 
 KINDS = (

@@ -26,9 +26,9 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidemark.llm.warc_store import archive_pages
+    from tidemark.llm.warc_store import archive_pages, measure_records
 
-    return archive_pages(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return measure_records(archive_pages(_table(spark, sf_dir, "pages")))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -117,11 +117,40 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return joined.select("page_id", "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to", "header", "payload")
 
 
-def rebuild(records: DataFrame) -> DataFrame:
-    """page_id and the exact bytes of each WARC record."""
+def record_bytes() -> Column:
     end = F.encode(F.lit("\r\n"), "UTF-8")
     block = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
-    return records.select("page_id", F.concat(F.col("header"), end, block, end, end).alias("record"))
+    return F.concat(F.col("header"), end, block, end, end)
+
+
+def rebuild(records: DataFrame) -> DataFrame:
+    """page_id and the exact bytes of each WARC record."""
+    return records.select("page_id", record_bytes().alias("record"))
+
+
+def measure_records(records: DataFrame) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of each record, from its rebuilt bytes.
+
+    A response's payload is the block that is cut from the record; a revisit has none, so
+    its payload is the one it is joined to.  A record that is longer or shorter than its
+    header says, or whose payload hasn't its digest, raises.
+    """
+    head = F.concat(F.substring_index(F.col("record").cast("string"), "\r\n\r\n", 1), F.lit("\r\n"))
+    whole = records.select(record_bytes().alias("record"), "payload").select("record", "payload", head.alias("head"))
+    field = lambda name: header_field(F.col("head"), name)
+    at = F.octet_length("head") + 2
+    size = field("Content-Length").cast("int")
+    block = F.when(F.octet_length("record") == at + size + 4, F.substring(F.col("record"), at + 1, size)).otherwise(F.raise_error(F.lit("record damaged")).cast("binary"))
+    payload = F.when(field("WARC-Type") == "response", block).when(F.length(block) == 0, F.col("payload")).otherwise(F.raise_error(F.lit("revisit with a block")).cast("binary"))
+    cut = whole.select("head", payload.alias("payload")).select("head", F.length("payload").cast("bigint").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("digest"))
+    same = F.substring(field("WARC-Payload-Digest"), 6, 32) == F.col("digest")
+    return cut.select(
+        F.nullif(field("X-Page"), F.lit("")).cast("bigint").alias("page_id"),
+        "payload_bytes",
+        F.when(same, F.col("digest")).otherwise(F.raise_error(F.lit("header and payload differ"))).alias("payload_digest"),
+        field("WARC-Type").alias("record_type"),
+        F.nullif(field("X-Refers-To-Page"), F.lit("")).cast("bigint").alias("refers_to"),
+    )
 
 
 def parse_warc(data: bytes) -> list[tuple[dict[str, str], bytes]]:
