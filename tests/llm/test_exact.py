@@ -15,7 +15,7 @@ from tidemark.llm.packing import pack_documents
 from tidemark.llm.quality import judge
 from tidemark.llm.queries import tokenizer_path
 from tidemark.llm.secret_scan import BlobLedger, redact, scan_documents
-from tidemark.llm.url_rules import filter_urls
+from tidemark.llm.url_rules import Mining, filter_urls, mine_rules
 from tidemark.llm.vector_dedup import link_vectors
 from tidemark.llm.warc_store import archive_pages, parse_warc, rebuild
 
@@ -77,6 +77,13 @@ def test_mined_rules_generalise(spark):
     assert {r.page_id: r.verdict for r in filter_urls(pages, labels=labels).collect()} == {1: "block", 2: "allow"}
 
 
+def test_a_sample_keeps_the_share_of_a_hot_url(spark):
+    rows = [(["h:hot"], "block", "hot")] * 1000 + [(["h:cold", f"p:x{i}"], "allow", f"cold/x{i}") for i in range(2000)]
+    rules = mine_rules(spark.createDataFrame(rows, "tokens array<string>, verdict string, key string"), Mining(sample=300)).collect()
+    got = {(r["items"][0], r.verdict): r.support for r in rules}
+    assert abs(got["h:hot", "block"] - 1 / 3) < 0.05 and abs(got["h:cold", "allow"] - 2 / 3) < 0.05
+
+
 # ---- WARC
 
 

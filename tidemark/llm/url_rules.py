@@ -5,7 +5,8 @@ is given).  Spark's FP-growth mines token combinations together with the label;
 whose only consequent is the label are kept when confidence and support are high
 enough and no shorter rule says the same as surely.  The kept rules form an inverted
 index from each rule's rarest token; a URL looks up its own tokens there and a rule
-fits when all its tokens are present.  DataFrame functions only; URLs aren't shuffled.
+fits when all its tokens are present.  DataFrame functions only; URLs aren't shuffled,
+but for the counts of equal ones when labelled URLs are sampled.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ class UrlRule:
 
 @dataclass(frozen=True)
 class Mining:
-    """sample: labelled URLs mined at most, in expectation; they are chosen by a hash of the URL, so alike on each run."""
+    """sample: labelled URLs mined at most, in expectation; chosen alike on each run, and equal URLs as often as their share asks for."""
 
     min_support: float = 0.01
     min_confidence: float = 0.9
@@ -78,8 +79,10 @@ def mine_rules(labelled: DataFrame, mining: Mining = Mining()) -> DataFrame:
     labelled = labelled.where(F.col("verdict").isNotNull() & (F.size("tokens") > 0))
     n = labelled.count()
     if n > mining.sample:
-        share = int(mining.sample / n * (1 << 31))
-        labelled = labelled.where(F.pmod(F.xxhash64("tokens", "key"), F.lit(1 << 31)) < share)
+        # of rows alike in tokens and verdict their share stays, rounded up or down by a hash
+        alike = labelled.groupBy("tokens", "verdict").agg(F.count("*").alias("n"))
+        stays = F.floor(F.col("n") * (mining.sample / n) + F.pmod(F.xxhash64("tokens", "verdict"), F.lit(1 << 31)) / (1 << 31))
+        labelled = alike.withColumn("stays", stays).where("stays > 0").select("tokens", "verdict", F.explode(F.sequence(F.lit(1), F.col("stays"))))
     items = labelled.select(F.concat("tokens", F.array(F.concat(F.lit("="), "verdict"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=mining.min_support, minConfidence=mining.min_confidence).fit(items)
     rules = model.associationRules.where(F.col("consequent")[0].startswith("=") & (F.size("antecedent") <= mining.max_tokens))
@@ -118,10 +121,10 @@ def filter_urls(pages: DataFrame, rules: tuple[UrlRule, ...] = BASE_RULES, minin
     base = parsed(pages.select("page_id", "url"))
     base = base.select("page_id", "host", "path", fixed_rule(F.col("host"), F.col("path"), rules).alias("fixed"), tokens(F.col("host"), F.col("path")).alias("tokens"))
     if labels is None:
-        known = base.select("tokens", F.concat("host", "path").alias("key"), F.col("fixed.verdict").alias("verdict"))
+        known = base.select("tokens", F.col("fixed.verdict").alias("verdict"))
     else:
         known = parsed(labels.select("url", "verdict"))
-        known = known.select(tokens(F.col("host"), F.col("path")).alias("tokens"), F.col("url").alias("key"), "verdict")
+        known = known.select(tokens(F.col("host"), F.col("path")).alias("tokens"), "verdict")
     index = inverted_index(mine_rules(known, mining))
     # a scalar subquery: the index is computed once, and is as small as the supported rules are few
     with_index = base.withColumn("index", F.broadcast(index).select("index").scalar())
