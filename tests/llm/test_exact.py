@@ -286,6 +286,18 @@ def test_near_copies_that_repeat_a_passage(spark):
     assert {r.doc_id: r.class_id for r in got} == {i: i - i % 2 for i, _, _ in rows}
 
 
+def test_different_texts_of_one_id_stay(spark):
+    one, other, third = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    rows = [(1, one), (1, other), (1, one), (1, one + " more"), (2, one), (3, third), (4, None), (4, None), (4, third), (None, one), (None, one)]
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id bigint, text string, digest string, name string")
+    kept = keep_one_of_each(docs)
+    assert kept.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    texts = [t for i, t in got if i is not None]
+    assert set(got) <= set(rows) and got.count((None, one)) == 2
+    assert len(texts) == 4 and texts.count(other) == texts.count(third) == texts.count(None) == 1
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(5)
     seeds = rng.standard_normal((6, 16))

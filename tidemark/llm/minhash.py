@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -282,11 +283,36 @@ def near_copies(docs: DataFrame, how: NearCopies = NearCopies()) -> DataFrame:
     return found.unionByName(alone).select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
+def _named_apart(several: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, digest and a name (bigint) of each text of `several`: one text of a doc_id keeps the doc_id, others get a name that is neither in ids nor another's."""
+    digest = F.coalesce(F.sha2("text", 256), F.lit(""))
+    texts = several.select("doc_id", digest.alias("digest")).distinct()
+    first = texts.groupBy("doc_id").agg(F.min("digest").alias("first"))
+    texts = cut(texts.join(first, "doc_id"), "texts-of-one-id")
+    for salt in count():
+        own = F.when(F.col("digest") == F.col("first"), F.col("doc_id")).otherwise(F.xxhash64("doc_id", "digest", F.lit(salt)))
+        named = cut(texts.select("doc_id", "digest", own.alias("name"), (F.col("digest") != F.col("first")).alias("made")), "names")
+        taken = named.where("made").select("name").join(ids.select(F.col("doc_id").alias("name")), "name", "left_semi")
+        if not taken.unionByName(named.groupBy("name").count().where("count > 1").select("name")).head(1):
+            return named.select("doc_id", "digest", "name")
+
+
 def keep_one_of_each(docs: DataFrame, how: NearCopies = NearCopies()) -> DataFrame:
-    """The rows of docs, with all their columns, less all but one of each class; of rows that share a doc_id one stays. Rows with a null doc_id stay."""
-    dropped = cut(near_copies(docs, how).where(~F.col("kept")).select("doc_id").distinct(), "dropped")
+    """The rows of docs, with all their columns, less all but one of each class of texts.
+
+    Rows that share a doc_id are compared by their texts like any others, so one stays of
+    those with near texts and different texts all stay.  Rows with a null doc_id stay.
+    """
     ids = docs.where(F.col("doc_id").isNotNull()).select("doc_id")
     repeated = cut(ids.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    rest = docs.join(dropped.unionByName(repeated), "doc_id", "left_anti").select(docs.columns)
-    once = docs.join(repeated.join(dropped, "doc_id", "left_anti"), "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
-    return rest.unionByName(once)
+    if not repeated.head(1):
+        dropped = cut(near_copies(docs, how).where(~F.col("kept")).select("doc_id").distinct(), "dropped")
+        return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    several = docs.join(repeated, "doc_id", "left_semi").select(docs.columns)
+    row = several.select(F.struct("*").alias("row"), "doc_id", F.coalesce(F.sha2("text", 256), F.lit("")).alias("digest"))
+    once = cut(row.join(_named_apart(several, ids), ["doc_id", "digest"]).select("name", "row").dropDuplicates(["name"]), "once")
+    single = docs.join(repeated, "doc_id", "left_anti").select(docs.columns)
+    texts = single.select("doc_id", "text").unionByName(once.select(F.col("name").alias("doc_id"), F.col("row.text").alias("text")))
+    dropped = cut(near_copies(texts, how).where(~F.col("kept")).select("doc_id").distinct(), "dropped")
+    rest = single.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    return rest.unionByName(once.join(dropped.withColumnRenamed("doc_id", "name"), "name", "left_anti").select("row.*"))
