@@ -3,7 +3,8 @@
 An edge always leads from a node to a smaller one.  A large star links each node's larger
 neighbours to its smallest neighbour, a small star does so with the smaller ones; when
 neither changes anything, every node hangs from its component's minimum.  Nothing but a
-count and a checksum comes to the driver.
+count and a checksum comes to the driver, and a step's table is deleted once the next is
+written.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.storage import cut
+from tidemark.llm.storage import Scratch
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -19,13 +20,14 @@ def _state(edges: DataFrame) -> tuple:
     return row[0], row[1]
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """edges: (a, b) of longs; gives (node, component): the smallest node of its component, for nodes with an edge to another.
 
-    Null ends and loops are left out; repeated edges count once.
+    Null ends and loops are left out; repeated edges count once.  The result is read from
+    the scratch.
     """
     pair = (F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    now = cut(edges.where((F.col("a") != F.col("b")) & F.col("a").isNotNull() & F.col("b").isNotNull()).select(*pair).distinct(), "edges")
+    now = scratch.cut(edges.where((F.col("a") != F.col("b")) & F.col("a").isNotNull() & F.col("b").isNotNull()).select(*pair).distinct(), "edges")
     state = _state(now)
     while state[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -34,8 +36,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
         starred = large.join(lowest, "a")
         small = starred.where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(lowest.select("a", F.col("m").alias("b")))
-        after = cut(small.distinct(), "edges")
+        after = scratch.cut(small.distinct(), "edges")
         before, state = state, _state(after)
+        scratch.drop(now)
         now = after
         if state == before:
             break

@@ -1,36 +1,40 @@
 """Near-duplicate documents by ProbMinHash, banding and verification.
 
-A document is its set of runs of five words.  Each run sends exponential arrivals to
-random registers, all runs at the same rate however often they stand in the text; a
-register keeps its first arrival's run, and a run stops sending once its time is past
-every register of the document.  So two registers agree with the Jaccard similarity of
-the documents' sets, which is what pairs are checked on.
-
-Documents with equal sets of runs are one row from then on.  Registers in bands give
-buckets, and pairs are checked on their whole sets:
-
-1. Each member of a bucket against the bucket's smallest member.
-2. What is then still in different components of one bucket: every such pair whose
-   registers agree well enough, in tiles, so a bucket of any size is split over tasks.
-   Pairs are checked where their tiles meet; rows with sets travel, pairs don't.
+A document is its set of runs of five words, each with a weight.  Each run sends arrivals
+of a Poisson process, whose rate is its weight, to random registers; a register keeps its
+first arrival's run, and a run stops sending once its time is past every register of the
+document.  Two registers then agree with the probability Jaccard similarity of the
+documents, and that is what pairs are checked on.  With equal weights (the default) it is
+the plain Jaccard similarity of the sets; with weights from counts it is that of the
+distributions of runs.
+
+Documents with equal runs are one node from then on.  Registers in bands give buckets, and
+pairs are checked on their whole sets:
+
+1. Each member of a bucket against the bucket's leader.
+2. What is then still in different components of one bucket: every such pair, but for
+   those that a bound rules out for certain.  A bucket's largest component meets the
+   others' members in a grid of tiles, and these meet each other; so a bucket of any size
+   is split over tasks, and a few strays beside a very large component cost each of its
+   members one check.
 
 So a group of near copies costs a check for each copy and bucket leader, not for each
-pair, and no candidate pair between different components is left out.
+pair, and no candidate pair between different components is left out.  Texts are read
+twice and don't move, unless more nodes than can be broadcast share a bucket.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected_components
-from tidemark.llm.storage import bounded_batches, cut
+from tidemark.llm.storage import Scratch, bounded_batches, cut, free_name, match_written
 from tidemark.llm.textvec import Texts, mix, runs, slices, windows
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -38,20 +42,21 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass(frozen=True)
 class NearCopies:
-    """bands * rows registers; at similarity 0.8 a pair misses all bands with probability 7e-5. floor: least agreement of registers that is checked in the second pass, 5 standard deviations below 0.8."""
+    """bands * rows registers; at similarity 0.8 a pair misses all bands with probability 7e-5. weighted: a run weighs 1 + log(times it stands in the text), else 1. tile, tile_bytes: nodes of a tile, and bytes of their sets, in expectation."""
 
     words: int = 5
     similarity: float = 0.8
     bands: int = 24
     rows: int = 5
-    floor: float = 0.62
+    weighted: bool = False
     tile: int = 256
+    tile_bytes: int = 16 << 20
 
 
-def shingles(t: Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text, run) without repeats, by text and run. A text of fewer words than `size` has one run, of all of them."""
+def shingles(t: Texts, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, run, times) by text and run. A text of fewer words than `size` has one run, of all of them."""
     start, end, doc = t.words()
-    h = t.hashes(start, end)
+    h = t.identities(start, end)
     first, run = windows(h, doc, size)
     docs, run_s = [doc[first]], [run]
     n = np.bincount(doc, minlength=t.n)
@@ -65,14 +70,20 @@ def shingles(t: Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
     d, s = d[order], s[order]
     new = np.ones(len(d), bool)
     new[1:] = (d[1:] != d[:-1]) | (s[1:] != s[:-1])
-    return d[new], s[new]
+    at = np.flatnonzero(new)
+    return d[at], s[at], np.diff(np.append(at, len(d)))
+
 
+def weights(times: np.ndarray, weighted: bool) -> np.ndarray:
+    return 1 + np.log(times) if weighted else np.ones(len(times))
 
-def prob_minhash(doc: np.ndarray, element: np.ndarray, n_docs: int, registers: int) -> np.ndarray:
+
+def prob_minhash(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_docs: int, registers: int) -> np.ndarray:
     """Register contents [n_docs, registers]: the element that arrived first. Texts without elements keep zeros.
 
-    Arrivals of one element form a Poisson process of rate 1, the same in every text; all
-    texts of a batch take their next arrivals together.
+    An element's arrivals are those of one Poisson process of rate 1, the same in every
+    text, hurried by its weight there; all texts of a batch take their next arrivals
+    together.
     """
     first = np.full(n_docs * registers, np.inf)
     held = np.zeros(n_docs * registers, np.uint64)
@@ -81,55 +92,75 @@ def prob_minhash(doc: np.ndarray, element: np.ndarray, n_docs: int, registers: i
         with np.errstate(over="ignore"):
             seed = seed + _STEP
         bits = mix(seed)
-        time = time - np.log(((bits >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53)
+        time = time - np.log(((bits >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / weight
         slot = doc * registers + (mix(bits) % np.uint64(registers)).astype(np.int64)
         np.minimum.at(first, slot, time)
         won = first[slot] == time
         held[slot[won]] = element[won]
         going = time < first.reshape(n_docs, registers).max(axis=1)[doc]
-        doc, element, time, seed = doc[going], element[going], time[going], seed[going]
+        doc, element, weight, time, seed = doc[going], element[going], weight[going], time[going], seed[going]
     return held.reshape(n_docs, registers)
 
 
 def _signatures(how: NearCopies):
-    names = ["doc_id", "k1", "k2", "buckets", "bands", "registers"]
+    """doc_id, digest, the 128-bit name of the text's runs, their number and the buckets, of texts with a word."""
+    names = ["doc_id", "digest", "k1", "k2", "n", "buckets"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, texts in slices(batch.column(1)):
+            for at, texts in slices(batch.column(2)):
                 t = Texts(texts)
-                doc, run_ = shingles(t, how.words)
-                held = prob_minhash(doc, run_, t.n, how.bands * how.rows)
+                doc, run_, times = shingles(t, how.words)
+                held = prob_minhash(doc, run_, weights(times, how.weighted), t.n, how.bands * how.rows)
                 here, starts = np.unique(doc, return_index=True)
                 with np.errstate(over="ignore"):
-                    # sums over a set don't depend on order: 128 bits name the set
-                    k1 = np.add.reduceat(mix(run_ ^ np.uint64(0x1B873593)), starts) if len(doc) else np.empty(0, np.uint64)
-                    k2 = np.add.reduceat(mix(run_ ^ np.uint64(0xCC9E2D51)), starts) if len(doc) else np.empty(0, np.uint64)
+                    # sums over a set don't depend on order
+                    named = mix(run_ + times.astype(np.uint64) * _STEP) if how.weighted else run_
+                    k1 = np.add.reduceat(mix(named ^ np.uint64(0x1B873593)), starts) if len(doc) else np.empty(0, np.uint64)
+                    k2 = np.add.reduceat(mix(named ^ np.uint64(0xCC9E2D51)), starts) if len(doc) else np.empty(0, np.uint64)
                     band = np.zeros((len(here), how.bands), np.uint64)
                     for r in range(how.rows):
                         band = mix(band * _STEP + held[here].reshape(-1, how.bands, how.rows)[:, :, r])
                     band = mix(band + np.arange(how.bands, dtype=np.uint64))
-                short = (mix(held[here]) & np.uint64(0xFFFF)).astype(np.uint16)
-                offsets = pa.array(np.arange(len(here) + 1) * how.bands, pa.int32())
-                columns = [batch.column(0).slice(at, t.n).take(pa.array(here)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(band.ravel().view(np.int64))), pa.array([x.tobytes() for x in band], pa.binary()), pa.array([x.tobytes() for x in short], pa.binary())]
+                offsets, rows = pa.array(np.arange(len(here) + 1) * how.bands, pa.int32()), pa.array(here)
+                columns = [*(batch.column(c).slice(at, t.n).take(rows) for c in (0, 1)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(np.diff(np.append(starts, len(doc))), pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(band.ravel().view(np.int64)))]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
 
-def _sets(size: int):
-    """doc_id and the sorted hashes of a text's runs."""
+def _parts(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """The bytes of values[cuts[i]:cuts[i + 1]], for each i."""
+    size = values.itemsize
+    return pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(np.ascontiguousarray(cuts.astype(np.int64) * size)), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
+
+
+def _sets(how: NearCopies):
+    """node, the sorted names of its runs and, if they count, their weights."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in slices(batch.column(1)):
                 t = Texts(texts)
-                doc, run_ = shingles(t, size)
+                doc, run_, times = shingles(t, how.words)
                 cuts = np.searchsorted(doc, np.arange(t.n + 1))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, t.n), pa.array([run_[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], ["rep", "runs"])
+                weight = _parts(weights(times, True), cuts) if how.weighted else pa.array([b""] * t.n, pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, t.n), _parts(run_, cuts), weight], ["node", "runs", "weights"])
 
     return run
 
 
+def _arrays(column: pa.Array, kind: type) -> list[np.ndarray]:
+    """Views of a binary column's values."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    column = column.cast(pa.large_binary())
+    if not len(column):
+        return []
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    raw = column.buffers()[2]
+    return [np.frombuffer(raw, kind, (b - a) // np.dtype(kind).itemsize, a) if b > a else np.empty(0, kind) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+
+
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     """Of two sorted arrays without repeats."""
     both = np.concatenate([a, b])
@@ -138,181 +169,210 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(both) - common) if len(both) else 0.0
 
 
-def _similar(least: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                low, high = sorted((len(a), len(b)))
-                keep.append(low >= least * high and jaccard(a, b) >= least)
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
+def probability_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
+    """Sum over common i of 1 / sum over j of max(wa_j / wa_i, wb_j / wb_i): ratios in falling order split the inner sum in two."""
+    every = np.union1d(a, b)
+    x, y = np.zeros(len(every)), np.zeros(len(every))
+    x[np.searchsorted(every, a)], y[np.searchsorted(every, b)] = wa, wb
+    ratio = np.divide(x, y, out=np.full(len(every), np.inf), where=y > 0)
+    order = np.argsort(-ratio, kind="stable")
+    x, y = x[order], y[order]
+    before, after = np.cumsum(x), np.cumsum(y[::-1])[::-1] - y
+    both = (x > 0) & (y > 0)
+    return float((1 / (before[both] / x[both] + after[both] / y[both])).sum())
 
-    return run
 
+def _similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
+    return probability_jaccard(a, wa, b, wb) if len(wa) or len(wb) else jaccard(a, b)
 
-def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough. Sides are joined in turn, so a leader with very many members is a skewed key that Spark splits."""
-    left = pairs.join(sets.select(F.col("rep").alias("a"), F.col("runs").alias("x")), "a")
-    both = left.join(sets.select(F.col("rep").alias("b"), F.col("runs").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(_similar(least), "a bigint, b bigint")
+
+def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """a, b and their similarity."""
+    for batch in batches:
+        x, y = _arrays(batch.column(2), np.uint64), _arrays(batch.column(4), np.uint64)
+        wx, wy = _arrays(batch.column(3), np.float64), _arrays(batch.column(5), np.float64)
+        found = [_similarity(*four) for four in zip(x, wx, y, wy, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], ["a", "b", "similarity"])
+
+
+def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The similarity of each pair (a, b). Sides are joined in turn, so a leader with very many members is a skewed key that Spark splits."""
+    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("runs").alias("x"), F.col("weights").alias("wx")), "a")
+    both = left.join(sets.select(F.col("node").alias("b"), F.col("runs").alias("y"), F.col("weights").alias("wy")), "b")
+    return both.select("a", "b", "x", "wx", "y", "wy").mapInArrow(_measured, "a bigint, b bigint, similarity double")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
     """Runs of rows equal in the first `keys` columns, of input sorted by them; a run may span batches."""
-    held: pa.Table | None = None
+    held: list[pa.RecordBatch] = []
+    last: tuple | None = None
     for batch in batches:
-        table = pa.Table.from_batches([batch])
-        if held is not None:
-            table = pa.concat_tables([held, table]).combine_chunks()
-        if not table.num_rows:
+        if not batch.num_rows:
             continue
-        code = np.zeros(table.num_rows, np.uint64)
+        code = np.zeros(batch.num_rows, np.uint64)
         with np.errstate(over="ignore"):
             for k in range(keys):
-                code = mix(code * _STEP + np.asarray(table.column(k)).astype(np.int64).view(np.uint64))
-        start, length = runs(code)
-        for s, n in zip(start[:-1], length[:-1], strict=True):
-            yield table.slice(s, n)
-        held = table.slice(start[-1])
-    if held is not None and held.num_rows:
-        yield held
+                code = mix(code * _STEP + np.asarray(batch.column(k)).astype(np.int64).view(np.uint64))
+        for s, n in zip(*runs(code), strict=True):
+            now = tuple(batch.column(k)[s].as_py() for k in range(keys))
+            if held and now != last:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            held.append(batch.slice(s, n))
+            last = now
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
-_TILED = "bucket bigint, i int, j int, rep bigint, component bigint, tile int, bands binary, registers binary"
+_KEY = ("bucket", "across", "i", "j")
+_GRID = (*_KEY, "left", "node", "component", "n", "far", "buckets", "runs", "weights")
 
 
-def _candidates(group: pa.Table, how: NearCopies) -> Iterator[tuple[int, np.ndarray]]:
-    """Of one (bucket, i, j): each row of tile i with those rows of tile j that need a check.
+def _linking(how: NearCopies):
+    """Links among the nodes of each group: every candidate pair is checked on its sets, unless links found here join it already. So a group gives fewer links than it has nodes.
 
-    These are rows of another component whose registers agree on at least how.floor, in
-    the first band that the two share: so a pair is met in one of its buckets only.
+    Candidates are pairs of different components in the first bucket that the two share,
+    but for those that can't be similar: whose sets differ too much in size, or whose
+    distances from the bucket's leader differ by more than a link's distance (one less
+    the similarity is a metric).
     """
-    rep, component, tile = (np.asarray(group.column(c)) for c in ("rep", "component", "tile"))
-    bucket, i, j = (group.column(c)[0].as_py() for c in ("bucket", "i", "j"))
-    reg = np.frombuffer(b"".join(x.as_py() for x in group.column("registers")), np.uint16).reshape(len(rep), -1)
-    bands = np.frombuffer(b"".join(x.as_py() for x in group.column("bands")), np.int64).reshape(len(rep), -1)
-    left, right = np.flatnonzero(tile == i), np.flatnonzero(tile == j)
-    for x in left:
-        other = right[(component[right] != component[x]) & ((rep[right] > rep[x]) if i == j else True)]
-        other = other[(reg[other] == reg[x]).mean(axis=1) >= how.floor] if len(other) else other
-        if len(other):
-            first = (bands[other] == bands[x]).argmax(axis=1)
-            other = other[bands[x][first] == bucket]
-        yield x, other
-
-
-def _agreeing(how: NearCopies):
-    """The rows of each (bucket, i, j) that are in a candidate pair."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, 3):
-            wanted = np.zeros(group.num_rows, bool)
-            for x, other in _candidates(group, how):
-                wanted[other] = True
-                wanted[x] |= len(other) > 0
-            if wanted.any():
-                yield from group.filter(pa.array(wanted)).combine_chunks().to_batches()
+    reach = 1 - how.similarity + 1e-9
 
-    return run
-
-
-def _linking(how: NearCopies):
-    """Links among the rows of each (bucket, i, j): every candidate pair is checked on its sets, unless links found here join it already. So a group gives fewer links than it has rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, 3):
-            rep = np.asarray(group.column("rep"))
-            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("runs")]
-            joined = np.asarray(group.column("component")).copy()
-            out: list[tuple[int, int]] = []
-            for x, other in _candidates(group, how):
+        for group in _groups(batches, len(_KEY)):
+            bucket, across, i, j = (group.column(c)[0].as_py() for c in _KEY)
+            left, node, component, n, far = (np.asarray(group.column(c)) for c in ("left", "node", "component", "n", "far"))
+            bands = np.asarray(group.column("buckets").chunk(0).flatten()).reshape(len(node), -1)
+            sets, weight = _arrays(group.column("runs"), np.uint64), _arrays(group.column("weights"), np.float64)
+            joined, out = component.copy(), []
+            one_side = not across and i == j
+            first = np.arange(len(node)) if one_side else np.flatnonzero(left)
+            second = first if one_side else np.flatnonzero(~left)
+            for x in first:
+                other = second[second > x] if one_side else second
+                maybe = (joined[other] != joined[x]) & (np.abs(far[other] - far[x]) <= reach)
+                if not how.weighted:
+                    maybe &= np.minimum(n[other], n[x]) >= how.similarity * np.maximum(n[other], n[x]) - 1e-9
+                other = other[maybe]
+                if len(other):
+                    other = other[bands[x][(bands[other] == bands[x]).argmax(axis=1)] == bucket]
                 for y in other:
-                    low, high = sorted((len(sets[x]), len(sets[y])))
-                    if joined[x] != joined[y] and low >= how.similarity * high and jaccard(sets[x], sets[y]) >= how.similarity:
+                    if joined[x] != joined[y] and _similarity(sets[x], weight[x], sets[y], weight[y]) >= how.similarity:
                         joined[joined == joined[y]] = joined[x]
-                        out.append((max(rep[x], rep[y]), min(rep[x], rep[y])))
+                        out.append((node[x], node[y]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([int(p[k]) for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return run
 
 
+def _across_components(shared: DataFrame, checked: DataFrame, components: DataFrame, unique: DataFrame, sets: DataFrame, how: NearCopies, scratch: Scratch) -> DataFrame | None:
+    """Links (a, b) between different components of a bucket; None when no bucket has several that the leader hasn't met."""
+    far = checked.select(F.col("a").alias("node"), F.col("b").alias("leader"), (1 - F.col("similarity")).alias("far"))
+    members = shared.where("members > 2").join(far, ["node", "leader"], "left").join(components, "node", "left").join(unique.select("node", "n"), "node")
+    members = scratch.cut(members.select("bucket", "node", F.coalesce("component", "node").alias("component"), F.coalesce("far", F.lit(0.0)).alias("far"), "n"), "members")
+    size = members.groupBy("bucket", "component").agg(F.count("*").alias("nodes"), F.sum("n").alias("runs"))
+    mixed = size.groupBy("bucket").agg(F.max(F.struct("nodes", "component", "runs")).alias("major"), F.count("*").alias("several"), F.sum("nodes").alias("nodes"), F.sum("runs").alias("runs")).where("several > 1")
+    tiles = lambda nodes, runs_: F.ceil(F.greatest(nodes / how.tile, runs_ * 8 / how.tile_bytes)).cast("int")
+    mixed = mixed.select("bucket", F.col("major.component").alias("major"), tiles(F.col("major.nodes"), F.col("major.runs")).alias("wide"), tiles(F.col("nodes") - F.col("major.nodes"), F.col("runs") - F.col("major.runs")).alias("high"))
+    mixed = scratch.cut(mixed, "mixed")
+    if not mixed.head(1):
+        return None
+    in_major = F.col("component") == F.col("major")
+    dealt = members.join(mixed, "bucket").withColumn("left", in_major).withColumn("tile", F.pmod(F.xxhash64("node"), F.when(in_major, F.col("wide")).otherwise(F.col("high"))).cast("int"))
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    place = lambda across, i, j: F.struct(F.lit(across).alias("across"), i.alias("i"), j.alias("j"))
+    tile = F.col("tile")
+    meets = F.when(in_major, F.transform(every("high"), lambda o: place(True, tile, o))).otherwise(F.concat(F.transform(every("wide"), lambda o: place(True, o, tile)), F.transform(every("high"), lambda o: place(False, F.least(tile, o), F.greatest(tile, o)))))
+    spread = dealt.select("bucket", F.explode(meets).alias("at"), "left", "tile", "node", "component", "n", "far")
+    grid = spread.select("bucket", "at.across", "at.i", "at.j", F.when(F.col("at.across"), F.col("left")).otherwise(F.col("tile") == F.col("at.i")).alias("left"), "node", "component", "n", "far")
+    grid = grid.join(unique.select("node", "buckets"), "node").join(sets, "node").select(*_GRID)
+    return scratch.cut(grid.repartition(*_KEY).sortWithinPartitions(*_KEY).mapInArrow(_linking(how), "a bigint, b bigint").distinct(), "links")
+
+
+def digest(text: str = "text") -> Column:
+    """16 bytes that name a text; none for a null."""
+    return F.coalesce(F.substring(F.unhex(F.sha2(F.col(text), 256)), 1, 16), F.lit(b""))
+
+
+def _no_word(text: str = "text") -> Column:
+    return F.col(text).isNull() | ~F.col(text).rlike(r"[^\x20\x09-\x0D]")
+
+
+def _decided(docs: DataFrame, how: NearCopies, scratch: Scratch) -> DataFrame:
+    """doc_id, digest, class_id and first of each row with a doc_id and a word; first: it is the row (or one equal to it) that stands for its class."""
+    bounded_batches(docs.sparkSession)
+    addressed = docs.select("doc_id", digest().alias("digest"), "text")
+    named = addressed.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    signed = scratch.cut(named.mapInArrow(_signatures(how), "doc_id bigint, digest binary, k1 bigint, k2 bigint, n bigint, buckets array<bigint>"), "signatures")
+    # equal sets are one node: a partial aggregate, so a group of copies of any size is small before the shuffle; written numbers are unique and stay
+    unique = signed.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "digest", "n", "buckets")).alias("one"))
+    unique = scratch.cut(unique.select(F.monotonically_increasing_id().alias("node"), "k1", "k2", "one.*"), "nodes")
+    placed = unique.select("node", F.explode("buckets").alias("bucket"))
+    leaders = placed.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("members")).where("members > 1")
+    shared = scratch.cut(placed.join(leaders, "bucket").select("bucket", "node", "leader", "members"), "buckets")
+    wanted = scratch.cut(unique.select("node", "doc_id", "digest").join(shared.select("node").distinct(), "node", "left_semi"), "wanted")
+    # rows equal in doc_id and text give a node's text several times; one is kept before it moves
+    text = match_written(addressed, wanted, ["doc_id", "digest"], "inner").groupBy("node").agg(F.min("text").alias("text"))
+    sets = scratch.cut(text.select("node", "text").mapInArrow(_sets(how), "node bigint, runs binary, weights binary"), "run-sets")
+    pairs = shared.where("node != leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+    checked = scratch.cut(_checked(pairs, sets), "checked")
+    components = connected_components(checked.where(F.col("similarity") >= how.similarity), scratch)
+    more = _across_components(shared, checked, components, unique, sets, how, scratch)
+    if more is not None and more.head(1):
+        # what the second pass links are components, so only these are joined further
+        over = lambda side: components.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
+        joined = more.join(over("a"), "a", "left").join(over("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+        above = connected_components(joined, scratch).select(F.col("node").alias("component"), F.col("component").alias("top"))
+        alone = above.join(components.select("component"), "component", "left_anti").select(F.col("component").alias("node"), "top")
+        components = components.join(above, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+        components = scratch.cut(components.unionByName(alone.select("node", F.col("top").alias("component"))), "components")
+    own = unique.select("node", "doc_id", "digest")
+    best = own.join(components, "node").groupBy("component").agg(F.min(F.struct("doc_id", "digest")).alias("best"))
+    best = components.join(best, "component").select("node", "best")
+    chosen = unique.select("k1", "k2", "node", "doc_id", "digest").join(best, "node", "left").select("k1", "k2", F.coalesce("best", F.struct("doc_id", "digest")).alias("best"))
+    rows = signed.select("doc_id", "digest", "k1", "k2").join(chosen, ["k1", "k2"])
+    return rows.select("doc_id", "digest", F.col("best.doc_id").alias("class_id"), (F.struct("doc_id", "digest") == F.col("best")).alias("first"))
+
+
 def near_copies(docs: DataFrame, how: NearCopies = NearCopies()) -> DataFrame:
-    """doc_id, class_id (the smallest doc_id of its class) and kept (doc_id = class_id) for every row.
-
-    Two documents are linked when the Jaccard similarity of their sets of word runs is at
-    least how.similarity; classes are the components of the links.  Words are what stands
-    between ASCII white space, as it is.  Null texts and texts without a word link with
-    nothing.  Rows with a null doc_id have a null class and are kept.  Repeated rows each
-    give a row, and share a class; of rows that share a doc_id one text is checked.  Columns other than doc_id and text aren't read; an
-    empty table gives an empty result.
+    """doc_id, class_id (the smallest doc_id of its class) and kept for every row.
+
+    Two texts are linked when the similarity of their word runs is at least
+    how.similarity; classes are the components of the links.  Words are what stands
+    between ASCII white space, as it is.  kept: the row's text stands for its class, as
+    that of the class's smallest doc_id does; of several such texts of one doc_id, one.
+    Null texts and texts without a word link with nothing, and are kept.  Rows with a
+    null doc_id have a null class and are kept.  Repeated rows each give a row, with the
+    same class.  Rows that share a doc_id are classed by their own texts, so one doc_id
+    can be in several classes, and classes that have it as the smallest share a number.
+    Columns other than doc_id and text aren't read; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    bounded_batches(spark)
     docs = docs.select("doc_id", "text")
-    named = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    signed = cut(named.mapInArrow(_signatures(how), "doc_id bigint, k1 bigint, k2 bigint, buckets array<bigint>, bands binary, registers binary"), "signatures")
-    # equal sets are one row: a partial aggregate, so a group of copies of any size is small before the shuffle
-    unique = signed.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "buckets", "bands", "registers")).alias("one"))
-    unique = cut(unique.select("k1", "k2", F.col("one.doc_id").alias("rep"), "one.buckets", "one.bands", "one.registers"), "unique-documents")
-    placed = unique.select("rep", F.explode("buckets").alias("bucket"))
-    leaders = placed.groupBy("bucket").agg(F.min("rep").alias("leader"), F.count("*").alias("members")).where("members > 1")
-    shared = cut(placed.join(leaders, "bucket"), "buckets")
-    pairs = shared.where("rep != leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
-    wanted = shared.select(F.col("rep").alias("doc_id")).distinct()
-    one_text = named.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))  # partitioned and sorted by the join
-    sets = cut(one_text.mapInArrow(_sets(how.words), "rep bigint, runs binary"), "run-sets")
-    links = cut(_verified(pairs, sets, how.similarity), "links")
-    components = connected_components(links)
-
-    members = shared.where("members > 2").join(components.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "members", F.coalesce("component", "rep").alias("component"))
-    mixed = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("bucket")
-    tiles = F.ceil(F.col("members") / how.tile).cast("int")
-    dealt = members.join(mixed, "bucket").join(unique.select("rep", "bands", "registers"), "rep").select("bucket", "rep", "component", "bands", "registers", tiles.alias("tiles"), F.pmod(F.xxhash64("rep"), tiles).cast("int").alias("tile"))
-    spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    grouped = spread.select("bucket", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "rep", "component", "tile", "bands", "registers")
-    key = ("bucket", "i", "j")
-    close = grouped.repartition(*key).sortWithinPartitions(*key).mapInArrow(_agreeing(how), _TILED)
-    second = close.join(sets, "rep").select(*[f.split()[0] for f in _TILED.split(", ")], "runs")
-    more = cut(second.repartition(*key).sortWithinPartitions(*key).mapInArrow(_linking(how), "a bigint, b bigint").distinct(), "links")
-    if more.head(1):
-        components = connected_components(links.unionByName(more))
-
-    classes = unique.select("k1", "k2", "rep").join(components.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("class_id"))
-    found = signed.select("doc_id", "k1", "k2").join(classes, ["k1", "k2"]).select("doc_id", "class_id")
-    alone = docs.where(F.col("doc_id").isNull() | F.col("text").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("doc_id", F.col("doc_id").alias("class_id"))
-    return found.unionByName(alone).select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
-
-
-def _named_apart(several: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id, digest and a name (bigint) of each text of `several`: one text of a doc_id keeps the doc_id, others get a name that is neither in ids nor another's."""
-    digest = F.coalesce(F.sha2("text", 256), F.lit(""))
-    texts = several.select("doc_id", digest.alias("digest")).distinct()
-    first = texts.groupBy("doc_id").agg(F.min("digest").alias("first"))
-    texts = cut(texts.join(first, "doc_id"), "texts-of-one-id")
-    for salt in count():
-        own = F.when(F.col("digest") == F.col("first"), F.col("doc_id")).otherwise(F.xxhash64("doc_id", "digest", F.lit(salt)))
-        named = cut(texts.select("doc_id", "digest", own.alias("name"), (F.col("digest") != F.col("first")).alias("made")), "names")
-        taken = named.where("made").select("name").join(ids.select(F.col("doc_id").alias("name")), "name", "left_semi")
-        if not taken.unionByName(named.groupBy("name").count().where("count > 1").select("name")).head(1):
-            return named.select("doc_id", "digest", "name")
+    alone = docs.where(F.col("doc_id").isNull() | _no_word()).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(True).alias("kept"))
+    with Scratch(docs.sparkSession, "near-copies") as scratch:
+        found = _decided(docs, how, scratch).select("doc_id", "class_id", F.col("first").alias("kept"))
+        return cut(found.unionByName(alone), "classes")
 
 
 def keep_one_of_each(docs: DataFrame, how: NearCopies = NearCopies()) -> DataFrame:
-    """The rows of docs, with all their columns, less all but one of each class of texts.
+    """The rows of docs, with all their columns, less all but one of each class of texts (see near_copies).
 
     Rows that share a doc_id are compared by their texts like any others, so one stays of
-    those with near texts and different texts all stay.  Rows with a null doc_id stay.
+    those with near texts and different texts all stay.  Of rows equal in doc_id and text
+    one stays, which one is open; so it is with null texts and texts without a word.  Rows
+    with a null doc_id all stay.  An empty table gives an empty result.
     """
-    ids = docs.where(F.col("doc_id").isNotNull()).select("doc_id")
-    repeated = cut(ids.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    if not repeated.head(1):
-        dropped = cut(near_copies(docs, how).where(~F.col("kept")).select("doc_id").distinct(), "dropped")
-        return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
-    several = docs.join(repeated, "doc_id", "left_semi").select(docs.columns)
-    row = several.select(F.struct("*").alias("row"), "doc_id", F.coalesce(F.sha2("text", 256), F.lit("")).alias("digest"))
-    once = cut(row.join(_named_apart(several, ids), ["doc_id", "digest"]).select("name", "row").dropDuplicates(["name"]), "once")
-    single = docs.join(repeated, "doc_id", "left_anti").select(docs.columns)
-    texts = single.select("doc_id", "text").unionByName(once.select(F.col("name").alias("doc_id"), F.col("row.text").alias("text")))
-    dropped = cut(near_copies(texts, how).where(~F.col("kept")).select("doc_id").distinct(), "dropped")
-    rest = single.join(dropped, "doc_id", "left_anti").select(docs.columns)
-    return rest.unionByName(once.join(dropped.withColumnRenamed("doc_id", "name"), "name", "left_anti").select("row.*"))
+    with Scratch(docs.sparkSession, "near-copies") as scratch:
+        rows = scratch.cut(_decided(docs.select("doc_id", "text"), how, scratch), "decided")
+        dropped = cut(rows.where("NOT first").select("doc_id", "digest").distinct(), "dropped")
+        blank = docs.where(F.col("doc_id").isNotNull() & _no_word()).select("doc_id", digest().alias("digest"))
+        repeated = cut(rows.where("first").select("doc_id", "digest").unionByName(blank).groupBy("doc_id", "digest").count().where("count > 1").select("doc_id", "digest"), "repeated")
+    name = free_name(docs, "digest")
+    on = ["doc_id", name]
+    named = lambda df: df.select("doc_id", F.col("digest").alias(name))
+    stays = match_written(docs.withColumn(name, digest()), named(dropped), on, "left_anti")
+    if repeated.head(1):
+        once = match_written(stays, named(repeated), on, "left_semi").dropDuplicates(on)
+        stays = match_written(stays, named(repeated), on, "left_anti").unionByName(once)
+    return stays.select(*[F.col(f"`{c}`") for c in docs.columns])
