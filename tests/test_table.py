@@ -161,3 +161,48 @@ def test_random_life(spark, tmp_path, seed):
         else:
             t = Table(spark, t.path)
         assert read(t) == Counter(live), (seed, what)
+
+
+def test_vacuum_leaves_adopted_files(spark, tmp_path):
+    outside = tmp_path / "given"
+    frame(spark, [(1, "a", 1), (2, "b", 2)]).coalesce(1).write.parquet(str(outside))
+    before = sorted(p.name for p in outside.iterdir())
+    t = make(spark, tmp_path)
+    t.load_files([str(outside)], 1)
+    t.delete(spark.createDataFrame([(2,)], "id int"), 2)
+    t.commit(3)
+    t.flush()
+    t.optimize("full")
+    assert t.vacuum() > 0
+    assert sorted(p.name for p in outside.iterdir()) == before
+    assert read(t) == Counter({(1, "a", 1): 1})
+
+
+def test_a_pinned_state_outlives_vacuum(spark, tmp_path):
+    t = make(spark, tmp_path)
+    t.append(frame(spark, [(1, "a", 1), (2, "b", 2)]), 1)
+    t.commit(2)
+    t.flush()
+    state, pin = t.begin_scan()
+    t.delete(spark.createDataFrame([(2,)], "id int"), 3)
+    t.commit(4)
+    t.flush()
+    t.optimize("full")
+    t.vacuum()
+    assert t.persisted(state).count() == 2
+    t.end_scan(pin)
+    t.vacuum()
+    assert not any(t.files.exists(f.path) for f in state.files) and t.read().count() == 1
+
+
+def test_deletes_do_not_shuffle_the_base(spark, tmp_path):
+    t = make(spark, tmp_path)
+    t.append(frame(spark, [(i, "a", i) for i in range(100)]), 1)
+    t.commit(2)
+    t.flush()
+    t.delete(spark.createDataFrame([(2,)], "id int"), 3)
+    t.commit(4)
+    t.flush()
+    plan = t.read()._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" in plan and "hashpartitioning" not in plan
+    assert t.read(prune={"id": (10, 19)}).count() == 10 and not t.read(prune={"id": (1000, None)}).count()

@@ -216,6 +216,117 @@ def decode_protobuf(data: DataFrame, schema: T.StructType, column: str = "value"
     return _decode(data, column, schema, reader)
 
 
+def _to_message(m, row: dict, schema: T.StructType) -> None:
+    for f in schema.fields:
+        kind, v = f.dataType, row[f.name]
+        if v is None:
+            continue
+        if isinstance(kind, T.ArrayType):
+            for x in v:
+                if isinstance(kind.elementType, T.StructType):
+                    _to_message(getattr(m, f.name).add(), x, kind.elementType)
+                else:
+                    getattr(m, f.name).append(_wire(x, kind.elementType))
+        elif isinstance(kind, T.StructType):
+            getattr(m, f.name).SetInParent()
+            _to_message(getattr(m, f.name), v, kind)
+        else:
+            setattr(m, f.name, _wire(v, kind))
+
+
+def _wire(v, kind: T.DataType):
+    if isinstance(kind, T.DecimalType):
+        return str(v)
+    if isinstance(kind, T.DateType):
+        return (v - date(1970, 1, 1)).days
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        moment = v if v.tzinfo else v.replace(tzinfo=UTC)
+        return (moment - _EPOCH) // timedelta(microseconds=1)
+    return v
+
+
+def encode_protobuf(rows: DataFrame, column: str = "value") -> DataFrame:
+    """One message per row, as decode_protobuf reads it; a null list is an empty one."""
+    schema = rows.schema
+
+    def writer():
+        cls = row_message(schema)
+
+        def write(row: dict) -> bytes:
+            m = cls()
+            _to_message(m, row, schema)
+            return m.SerializeToString()
+
+        return write
+
+    return _encode(rows, column, writer)
+
+
+class AvroWriter:
+    """Writes data of one record schema: null, boolean, int, long, float, double, string, bytes, arrays, records, and unions of null and one of these."""
+
+    def __init__(self, schema: str | dict):
+        self.schema = json.loads(schema) if isinstance(schema, str) else schema
+
+    def write(self, row: dict) -> bytes:
+        out = bytearray()
+        self._value(self.schema, row, out)
+        return bytes(out)
+
+    @staticmethod
+    def _long(v: int, out: bytearray) -> None:
+        v = v << 1 ^ v >> 63
+        while v > 0x7F:
+            out.append(v & 0x7F | 0x80)
+            v >>= 7
+        out.append(v)
+
+    def _value(self, s, v, out: bytearray) -> None:
+        if isinstance(s, list):
+            at = s.index("null") if v is None else next(i for i, x in enumerate(s) if x != "null")
+            self._long(at, out)
+            self._value(s[at], v, out)
+            return
+        kind = s["type"] if isinstance(s, dict) else s
+        if kind == "null":
+            return
+        if kind == "boolean":
+            out.append(bool(v))
+        elif kind in ("int", "long"):
+            self._long(v, out)
+        elif kind in ("float", "double"):
+            out += struct.pack("<f" if kind == "float" else "<d", v)
+        elif kind in ("string", "bytes"):
+            raw = v.encode() if kind == "string" else v
+            self._long(len(raw), out)
+            out += raw
+        elif kind == "array":
+            if v:
+                self._long(len(v), out)
+            for x in v:
+                self._value(s["items"], x, out)
+            self._long(0, out)
+        elif kind == "record":
+            for f in s["fields"]:
+                self._value(f["type"], v[f["name"]], out)
+        else:
+            raise ValueError(f"can't write Avro type {kind!r}")
+
+
+def encode_avro(rows: DataFrame, schema: str, column: str = "value") -> DataFrame:
+    """One datum per row of the record schema."""
+    return _encode(rows, column, lambda: AvroWriter(schema).write)
+
+
+def _encode(rows: DataFrame, column: str, make) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        write = make()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([write(r) for r in batch.to_pylist()], pa.binary())], [column])
+
+    return rows.mapInArrow(run, f"{column} binary")
+
+
 def _decode(data: DataFrame, column: str, target: T.StructType, make) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read, arrow = make(), to_arrow_schema(target)

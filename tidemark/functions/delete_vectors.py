@@ -10,7 +10,8 @@ from __future__ import annotations
 import struct
 import zlib
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Fixed value: the blob's magic number.
 MAGIC = bytes.fromhex("D1D33964")
@@ -38,3 +39,21 @@ def decode(spark: SparkSession, blob: bytes) -> list[int]:
     bitmap = jvm.org.roaringbitmap.longlong.Roaring64NavigableMap()
     bitmap.deserializePortable(jvm.java.io.DataInputStream(jvm.java.io.ByteArrayInputStream(bytearray(body[4:]))))
     return list(bitmap.toArray())
+
+
+def blobs(deleted: DataFrame) -> DataFrame:
+    """A delete set (file, row_index) as one blob per file: file, blob.
+
+    For interchange of a commit's deletes: the driver holds one file's positions at a
+    time, and as many blobs as files were deleted from.
+    """
+    spark = deleted.sparkSession
+    files = deleted.groupBy("file").agg(F.sort_array(F.collect_set("row_index")).alias("rows")).sort("file")
+    return spark.createDataFrame([(r["file"], encode(spark, r["rows"])) for r in files.toLocalIterator()], "file string, blob binary")
+
+
+def positions(blobs_: DataFrame) -> DataFrame:
+    """The delete set (file, row_index) of blobs."""
+    spark = blobs_.sparkSession
+    rows = [(r["file"], decode(spark, bytes(r["blob"]))) for r in blobs_.toLocalIterator()]
+    return spark.createDataFrame(rows, "file string, rows array<bigint>").select("file", F.explode("rows").alias("row_index"))

@@ -98,7 +98,8 @@ def resolve(events: DataFrame, at_lsn: int | None = None) -> DataFrame:
 
     Records of the main transaction are visible once a later commit exists.  Records of
     a streamed transaction take its commit's LSN; aborted and open transactions have
-    none.  Commits later than at_lsn don't count.
+    none.  Commits later than at_lsn don't count.  A transaction's id is its own: the
+    source doesn't use one again while the changelog holds events of it.
     """
     ends = events.where(F.col("op") == "C")
     if at_lsn is not None:

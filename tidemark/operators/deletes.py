@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.operators import policy
+
 SCHEMA = T.StructType([T.StructField("file", T.StringType()), T.StructField("row_index", T.LongType())])
 
 
@@ -25,6 +27,13 @@ def mask(rows: DataFrame, deleted: DataFrame) -> DataFrame:
     return rows.join(d, ["__file", "__row"], "left_anti")
 
 
+def committed_visible(rows: DataFrame, deleted: DataFrame) -> DataFrame:
+    """Rows (file, row_index, lsn, ...) that no delete (file, row_index, lsn) covers that sees them: one of an LSN at or after the row's."""
+    d = deleted.select(F.col("file").alias("__f"), F.col("row_index").alias("__r"), F.col("lsn").alias("__lsn"))
+    same = (F.col("file") == F.col("__f")) & (F.col("row_index") == F.col("__r"))
+    return rows.join(d, same & policy.visible_at(F.col("lsn"), F.col("__lsn")), "left_anti")
+
+
 def merge(*sets: DataFrame) -> DataFrame:
     """The union of delete sets, each position once."""
     out = sets[0].select("file", "row_index")

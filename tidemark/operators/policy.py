@@ -50,6 +50,9 @@ class IndexMergeConfig:
     max_files: int = 32
     final_bytes: int = 512 * MIB
 
+    def forced(self) -> IndexMergeConfig:
+        return IndexMergeConfig(2, self.max_files, self.final_bytes)
+
 
 def select_for_compaction(files: DataFrame, config: CompactionConfig = CompactionConfig(), full: bool = False) -> DataFrame:
     """Manifest rows (file, bytes, num_rows, deleted) to compact: small or mostly deleted files, smallest first.
@@ -88,8 +91,8 @@ def should_persist(new_files: int, deletes: int, maintenance_results: int, flush
     return enough and ordered
 
 
-def visible_at(row_lsn: int, delete_lsn: int) -> bool:
-    """A delete sees rows flushed or committed no later than itself."""
+def visible_at(row_lsn, delete_lsn):
+    """A delete sees rows flushed or committed no later than itself; for numbers or Columns."""
     return row_lsn <= delete_lsn
 
 

@@ -36,15 +36,16 @@ def k01(spark, sf_dir):
     return live_orders(spark, sf_dir)
 
 
-@query("k02_read_at_lsn", "SELECT o_orderkey, o_totalprice * CASE WHEN o_orderkey % 2 = 0 AND o_orderkey <= 2000 THEN 2 ELSE 1 END AS o_totalprice FROM orders WHERE o_orderkey <= 2000")
+@query("k02_read_at_lsn", "SELECT o_orderkey, o_totalprice * CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 1 END AS o_totalprice FROM orders WHERE o_orderkey <= (SELECT max(o_orderkey) // 2 FROM orders)")
 def k02(spark, sf_dir):
-    """Order k is committed at LSN 10k + 1 and doubled, if even, at 10k + 3; read at LSN 20,005."""
+    """Order k is committed at LSN 10k + 1 and doubled, if even, at 10k + 3; read at the LSN by which half of the keys are."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_totalprice")
+    middle = orders.agg(F.expr("max(o_orderkey) div 2")).first()[0] * 10 + 5
     base = F.col("o_orderkey") * 10
     doubled = orders.where("o_orderkey % 2 = 0").withColumn("o_totalprice", F.col("o_totalprice") * 2)
     events = cl.appends(orders, base).unionByName(cl.upserts(doubled, base + 2))
     commits = orders.select(F.lit("C").alias("op"), F.explode(F.array(base + 1, base + 3)).alias("lsn"), F.lit(0).alias("seq"), F.lit(None).cast("int").alias("xact_id"), F.lit(False).alias("delete_if_exists"), F.lit(None).cast(events.schema["r"].dataType).alias("r"))
-    return cl.reduce(cl.resolve(events.unionByName(commits), at_lsn=20_005), ORDER, unique_keys=True)
+    return cl.reduce(cl.resolve(events.unionByName(commits), at_lsn=middle), ORDER, unique_keys=True)
 
 
 @query("k03_fullrow_multiset_delete", "WITH a AS (SELECT l_returnflag, l_linestatus, count(*) - count(*) FILTER (WHERE l_linenumber = 1) AS n FROM lineitem GROUP BY ALL) SELECT l_returnflag, l_linestatus FROM a, generate_series(1, n)")
@@ -112,9 +113,9 @@ def k10(spark, sf_dir):
     return cl.reduce(events, Identity.key("c_custkey"))
 
 
-@query("k11_cdc_update_split", "SELECT 'D' AS op, 0 AS seq, o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 4 = 0 UNION ALL SELECT 'A', 1, o_orderkey, 'X' FROM orders WHERE o_orderkey % 4 = 0")
+@query("k11_cdc_update_split", "SELECT 'D' AS op, 0 AS seq, o_orderkey, o_orderstatus FROM orders UNION ALL SELECT 'A', 1, o_orderkey, 'X' FROM orders")
 def k11(spark, sf_dir):
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 4 = 0")
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     changes = o.select(F.struct("o_orderkey", "o_orderstatus").alias("old"), F.struct("o_orderkey", F.lit("X").alias("o_orderstatus")).alias("new"), "o_orderkey")
     return cl.updates(changes, "old", "new", F.col("o_orderkey")).select("op", "seq", "r.*")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions import json_rows, literals, otlp, scalars
+from tidemark.functions import json_rows, literals, otlp, scalars, types
 from tidemark.plans.registry import query
 
 
@@ -92,3 +92,70 @@ def r10(spark, sf_dir):
     c = spark.read.parquet(f"{sf_dir}/customer.parquet")
     literal = F.concat(F.lit("("), F.col("c_custkey").cast("string"), F.lit(',"'), "c_name", F.lit('",)'))
     return c.select("c_custkey", literals.composite_fields(literal, ["a", "b", "c"]).alias("x")).select("c_custkey", "x.*")
+
+
+def _requests(spark, sf_dir, metric):
+    """Each event as a request of one metric; every other service has a name, and every third point a table."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    named = F.when(F.col("event_id") % 2 == 0, F.format_string('{"key":"service.name","value":{"stringValue":"s%s"}},', (F.col("user_id") % 3).cast("string"))).otherwise("")
+    refs = '"entityRefs":[{"type":"host","idKeys":["host","missing"],"descriptionKeys":["service.name"]}]'
+    resource = F.concat(F.lit('{"attributes":['), named, F.format_string('{"key":"host","value":{"intValue":"%s"}}],', F.col("user_id").cast("string")), F.lit(refs + "}"))
+    return e.select(F.concat(F.lit('{"resourceMetrics":[{"resource":'), resource, F.lit(',"scopeMetrics":[{"scope":{"name":"s"},"metrics":['), metric, F.lit("]}]}]}")).alias("value"))
+
+
+@query("r11_otlp_histogram", "SELECT event_id AS hist_count, event_id / 2.0::DOUBLE AS hist_sum, [0.5::DOUBLE, 1.5::DOUBLE] AS explicit_bounds, [event_id, 2::BIGINT, 3::BIGINT] AS bucket_counts, 1 AS hist_temporality, NULL::BIGINT AS number_int, NULL::BOOLEAN AS is_monotonic, user_id AS host, CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END AS described FROM events")
+def r11(spark, sf_dir):
+    """Histogram points; the resource's entity names its attributes, and keys that it lacks are left out."""
+    point = F.format_string('{"timeUnixNano":"1","count":"%s","sum":%s,"explicitBounds":[0.5,1.5],"bucketCounts":["%s","2","3"]}', F.col("event_id").cast("string"), (F.col("event_id") / 2.0).cast("string"), F.col("event_id").cast("string"))
+    metric = F.format_string('{"name":"%s","histogram":{"dataPoints":[%s],"aggregationTemporality":1}}', "event_type", point)
+    flat = otlp.flatten_metrics(_requests(spark, sf_dir, metric))
+    entity = F.col("resource_entity_refs")[0]
+    return flat.select("hist_count", "hist_sum", "explicit_bounds", "bucket_counts", "hist_temporality", "number_int", "is_monotonic", entity["id_pairs"][0]["value"]["int_value"].alias("host"), F.size(entity["description_pairs"]).alias("described"))
+
+
+@query("r12_otlp_routes", "SELECT CASE WHEN event_id % 2 = 0 THEN 's' || (user_id % 3) ELSE 'unknown' END || '.t' || (event_id % 5) || '.gauge.' || event_type AS \"table\", event_id AS number_int FROM events WHERE event_id % 3 = 0 UNION ALL SELECT NULL, event_id FROM events WHERE event_id % 3 <> 0")
+def r12(spark, sf_dir):
+    """Points that carry the routing attribute go to a table of their service and metric, each once."""
+    routed = F.when(F.col("event_id") % 3 == 0, F.format_string('"attributes":[{"key":"table_id","value":{"stringValue":"t%s"}}],', (F.col("event_id") % 5).cast("string"))).otherwise("")
+    point = F.concat(F.lit("{"), routed, F.format_string('"timeUnixNano":"1","asInt":"%s"}', F.col("event_id").cast("string")))
+    metric = F.format_string('{"name":"%s","gauge":{"dataPoints":[%s]}}', "event_type", point)
+    from tidemark.sources.rows import ingest_otlp_json
+
+    return ingest_otlp_json(_requests(spark, sf_dir, metric)).select("table", "number_int")
+
+
+@query("r13_pg_composite_array", "SELECT c_custkey, c_custkey::VARCHAR || '/' || c_name || ',' || '-1/<null>' AS parts FROM customer")
+def r13(spark, sf_dir):
+    """An array of composites: quoted twice, with a null field."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    literal = F.concat(F.lit('{"('), F.col("c_custkey").cast("string"), F.lit(',\\"'), "c_name", F.lit('\\")","(-1,)"}'))
+    parts = literals.composite_array(literal, ["a", "b"])
+    return c.select("c_custkey", F.array_join(F.transform(parts, lambda x: F.concat(x["a"], F.lit("/"), F.coalesce(x["b"], F.lit("<null>")))), ",").alias("parts"))
+
+
+@query("r14_decimal_negative_scale", "SELECT o_orderkey, (round(o_orderkey / 100.0) * 100)::DECIMAL(8,0) AS v FROM orders")
+def r14(spark, sf_dir):
+    """A negative scale rounds to hundreds, halves away from zero."""
+    text = F.col("o_orderkey").cast("string")
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", scalars.decimal_value(text, 6, -2).alias("v"))
+
+
+_PG_SQL = "SELECT * FROM (VALUES ('bool', 'boolean'), ('bytea', 'binary'), ('date', 'date'), ('float4', 'float'), ('float8', 'double'), ('int2', 'smallint'), ('int4', 'int'), ('int8', 'bigint'), ('int4[]', 'array<int>'), ('json', 'string'), ('mood', 'string'), ('numeric', 'decimal(38,10)'), ('numeric(12,5)', 'decimal(12,5)'), ('numeric(2,-3)', 'decimal(5,0)'), ('text', 'string'), ('timestamp', 'timestamp_ntz'), ('timestamptz', 'timestamp'), ('uuid', 'string')) t(name, type)"
+
+
+@query("r15_pg_types", _PG_SQL)
+def r15(spark, sf_dir):
+    """Column types by name and modifier."""
+    typmod = lambda p, s: (p << 16 | (s & 0x7FF)) + 4
+    named = [(n, n, -1) for n in "bool bytea date float4 float8 int2 int4 int8 int4[] json mood numeric text timestamp timestamptz uuid".split()]
+    named += [("numeric(12,5)", "numeric", typmod(12, 5)), ("numeric(2,-3)", "numeric", typmod(2, -3))]
+    return spark.createDataFrame([(shown, types.postgres_type(name, modifier).simpleString()) for shown, name, modifier in named], "name string, type string")
+
+
+@query("r16_pg_scalars", "SELECT event_id, event_id % 2 = 0 AS b, event_id::INTEGER AS i, epoch_us(ts) AS at, 'x' AS c, CASE WHEN event_id % 3 = 0 THEN '{\"a\": 1}' END AS j FROM events")
+def r16(spark, sf_dir):
+    """Text values of several types; a char is trimmed, bad JSON is null."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    value = lambda text, kind: scalars.postgres_value(text, kind)
+    stamp = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("+00"))
+    return e.select("event_id", value(F.when(F.col("event_id") % 2 == 0, "t").otherwise("f"), "bool").alias("b"), value(F.col("event_id").cast("string"), "int4").alias("i"), F.unix_micros(value(stamp, "timestamptz")).alias("at"), value(F.lit("x   "), "bpchar").alias("c"), value(F.when(F.col("event_id") % 3 == 0, '{"a": 1}').otherwise("{"), "jsonb").alias("j"))

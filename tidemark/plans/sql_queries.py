@@ -45,15 +45,16 @@ def q04(spark, sf_dir):
     return _t(spark, sf_dir, "orders").join(big, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").select("o_orderkey")
 
 
-@query("q05_anti_join", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("q05_anti_join", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 def q05(spark, sf_dir):
-    return _t(spark, sf_dir, "customer").join(_t(spark, sf_dir, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
+    pending = _t(spark, sf_dir, "orders").where("o_orderstatus = 'P'")
+    return _t(spark, sf_dir, "customer").join(pending, F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
 
 
-@query("q06_full_join", "SELECT s_suppkey, c_custkey FROM (SELECT * FROM supplier WHERE s_suppkey % 2 = 0) s FULL JOIN (SELECT * FROM customer WHERE c_custkey % 3 = 0 AND c_custkey < 500) c ON s_suppkey = c_custkey")
+@query("q06_full_join", "SELECT s_suppkey, c_custkey FROM supplier FULL JOIN customer ON s_suppkey = 2 * c_custkey")
 def q06(spark, sf_dir):
-    s, c = _t(spark, sf_dir, "supplier").where("s_suppkey % 2 = 0"), _t(spark, sf_dir, "customer").where("c_custkey % 3 = 0 AND c_custkey < 500")
-    return s.join(c, F.col("s_suppkey") == F.col("c_custkey"), "full").select("s_suppkey", "c_custkey")
+    s, c = _t(spark, sf_dir, "supplier"), _t(spark, sf_dir, "customer")
+    return s.join(c, F.col("s_suppkey") == 2 * F.col("c_custkey"), "full").select("s_suppkey", "c_custkey")
 
 
 @query("q07_range_join", "SELECT a.event_id AS a_id, b.event_id AS b_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 1 HOUR WHERE a.event_type <> b.event_type")
@@ -191,3 +192,19 @@ def q28(spark, sf_dir):
     lines = _t(spark, sf_dir, "lineitem").where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz"))
     price = F.col("l_extendedprice").cast("decimal(18,2)") * (F.lit(1) - F.col("l_discount").cast("decimal(4,2)"))
     return lines.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), _money("l_quantity").alias("qty"), F.sum(price).cast("decimal(24,4)").alias("revenue"))
+
+
+@query("q29_theta_join", "SELECT a.n_name AS a, b.n_name AS b, r_name FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey AND a.n_regionkey <> b.n_regionkey CROSS JOIN region")
+def q29(spark, sf_dir):
+    """No equal keys: the small side is broadcast, and pairs are tested as they are made."""
+    n = _t(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    a, b = (n.select(*[F.col(c).alias(f"{side}_{c}") for c in n.columns]) for side in "ab")
+    pairs = a.join(F.broadcast(b), (F.col("a_n_nationkey") < F.col("b_n_nationkey")) & (F.col("a_n_regionkey") != F.col("b_n_regionkey")))
+    return pairs.crossJoin(F.broadcast(_t(spark, sf_dir, "region").select("r_name"))).select(F.col("a_n_name").alias("a"), F.col("b_n_name").alias("b"), "r_name")
+
+
+@query("q30_approx_count_distinct", "SELECT l_returnflag, true AS close FROM lineitem GROUP BY l_returnflag")
+def q30(spark, sf_dir):
+    """The estimate is within five standard errors of the exact count."""
+    lines = _t(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey", 0.02).alias("about"), F.countDistinct("l_partkey").alias("n"))
+    return lines.select("l_returnflag", (F.abs(F.col("about") - F.col("n")) <= 0.1 * F.col("n")).alias("close"))

@@ -15,6 +15,7 @@ from tidemark.errors import InvalidArgument
 from tidemark.functions.scalars import postgres_value
 from tidemark.operators import changelog as cl
 from tidemark.operators.policy import ctid_predicates
+from tidemark.tables.table import nullable
 
 
 def changelog_from_messages(messages: DataFrame, toast: str = "keep", keys: list[str] | None = None) -> DataFrame:
@@ -26,7 +27,8 @@ def changelog_from_messages(messages: DataFrame, toast: str = "keep", keys: list
     """
     if toast not in ("keep", "default"):
         raise InvalidArgument("toast is keep or default")
-    row: T.StructType = messages.schema["new"].dataType
+    row: T.StructType = nullable(messages.schema["new"].dataType)
+    messages = messages.withColumn("old", F.col("old").cast(row)).withColumn("new", F.col("new").cast(row))
     new, old = F.col("new"), F.coalesce("old", "new")
     if toast == "keep":
         fixed = set(keys or [])

@@ -10,12 +10,17 @@ from tidemark.operators import changelog as cl
 from tidemark.tables.table import Table
 
 
-def follow(table: Table, events: DataFrame, name: str, checkpoint: str, trigger: dict | None = None, flush: bool = True) -> StreamingQuery:
-    """Write a streaming changelog to the table; the manifest keeps `name`'s last batch, so a repeated batch is a no-op."""
+def follow(table: Table, events: DataFrame, name: str, checkpoint: str, trigger: dict | None = None, flush: bool | None = True) -> StreamingQuery:
+    """Write a streaming changelog to the table; the manifest keeps `name`'s last batch, so a repeated batch is a no-op.
+
+    flush: after each batch with a commit; None: when the table's thresholds are reached.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
         before = table.manifest
         after = table.write_events(batch, name, batch_id)
-        if flush and after.commit_lsn > before.commit_lsn:
+        if flush is None:
+            table.tick()
+        elif flush and after.commit_lsn > before.commit_lsn:
             table.flush()
 
     writer = events.writeStream.queryName(name).option("checkpointLocation", checkpoint).foreachBatch(write)

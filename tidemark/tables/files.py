@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import struct
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import SparkSession
 
+from tidemark.errors import Permanent
+
 
 class Files:
     def __init__(self, spark: SparkSession):
@@ -44,6 +49,32 @@ class Files:
         stream.write(bytearray(text.encode()))
         stream.close()
 
+    def footer(self, path: str, guess: int = 1 << 16) -> bytes:
+        """A Parquet file's footer, as its Thrift bytes."""
+        fs, p = self._at(path)
+        size = fs.getFileStatus(p).getLen()
+
+        def last(n: int) -> bytes:
+            stream = fs.open(p)
+            try:
+                stream.seek(max(0, size - n))
+                return bytes(stream.readAllBytes())
+            finally:
+                stream.close()
+
+        end = last(guess)
+        if size < 12 or end[-4:] != b"PAR1":
+            raise Permanent(f"not a Parquet file: {path}")
+        (length,) = struct.unpack("<I", end[-8:-4])
+        if length + 8 > len(end):
+            end = last(length + 8)
+        return end[-8 - length : -8]
+
+    def footers(self, paths: list[str], threads: int = 16) -> list[bytes]:
+        """Each file's footer, read side by side, in the order of the paths."""
+        with ThreadPoolExecutor(threads) as pool:
+            return list(pool.map(self.footer, paths))
+
     def delete(self, path: str) -> None:
         fs, p = self._at(path)
         fs.delete(p, True)

@@ -5,6 +5,7 @@
     <path>/deletes/    Parquet (file, row_index): deletes of persisted rows
     <path>/wal/        Parquet changelogs that aren't flushed yet
     <path>/index/      optional key -> position sidecars
+    <path>/pins/       versions that a scan still reads
 
 Files are only ever added; a manifest says which ones count.  A read resolves the
 manifest on the driver and is then one DataFrame plan.
@@ -12,11 +13,15 @@ manifest on the driver and is then one DataFrame plan.
 
 from __future__ import annotations
 
+import json
+import struct
 import time
 import uuid
 from dataclasses import asdict, replace
 from functools import reduce as fold
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,9 +35,16 @@ from tidemark.tables.files import Files
 from tidemark.tables.manifest import DataFile, Manifest, ManifestLog
 
 
+#: Deletes that a scan broadcasts at most, and blocks of files that it is split into for it; beyond, rows are shuffled by position.
+BROADCAST_DELETES, BLOCKS = 1_000_000, 64
+#: Characters of a text's bounds that the manifest keeps.
+BOUND_CHARS = 64
+
+
 class Table:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self._cached: tuple[Manifest, DataFrame] | None = None
         self.files = Files(spark)
         self.log = ManifestLog(self.files, self.path)
 
@@ -84,8 +96,8 @@ class Table:
         events = events.select("op", F.col("lsn").cast("bigint"), F.col("seq").cast("int"), F.col("xact_id").cast("int"), "delete_if_exists", F.col("r").cast(nullable(m.struct)).alias("r"))
         events.write.parquet(folder)
         kept = self.spark.read.schema(wanted).parquet(folder)
-        stats = kept.agg(F.max("lsn"), F.max(F.when(F.col("op") == "C", F.col("lsn"))), F.count(F.when(F.col("op") == "A", 1)), F.count("*")).first()
-        entry = {"path": folder, "max_lsn": stats[0], "rows": stats[2], "events": stats[3], "version": m.version + 1}
+        stats = kept.agg(F.max("lsn"), F.max(F.when(F.col("op") == "C", F.col("lsn"))), F.count(F.when(F.col("op") == "A", 1)), F.count("*"), F.count(F.when(F.col("op") == "D", 1))).first()
+        entry = {"path": folder, "max_lsn": stats[0], "rows": stats[2], "events": stats[3], "deletes": stats[4], "version": m.version + 1}
 
         def change(old: Manifest) -> Manifest:
             batches = dict(old.batches)
@@ -122,6 +134,36 @@ class Table:
     def _marks(self, rows: list[tuple[str, int, int | None]]) -> DataFrame:
         return cl.marks(self.spark.createDataFrame([], self._event_schema(self.manifest)), rows)
 
+    def keepalive(self, lsn: int) -> Manifest:
+        """The source is at lsn, and has nothing new for this table."""
+        return self.log.commit(lambda old: replace(old, replication_lsn=max(old.replication_lsn, lsn)))
+
+    def _wait(self, done, timeout: float, what: str) -> Manifest:
+        deadline = time.monotonic() + timeout
+        while not done(m := self.manifest):
+            if time.monotonic() >= deadline:
+                raise Temporary(what)
+            time.sleep(0.05)
+        return m
+
+    def wait_for_wal(self, lsn: int, timeout: float = 0.0) -> Manifest:
+        """Until the write-ahead log holds what the source sent up to lsn; Temporary after timeout."""
+        return self._wait(lambda m: m.replication_lsn >= lsn, timeout, f"the log isn't at LSN {lsn}")
+
+    def begin_copy(self) -> Manifest:
+        """An initial copy starts: events that come meanwhile are logged, and neither read nor flushed."""
+        return self.log.commit(lambda old: replace(old, copying=True))
+
+    def finish_copy(self, paths: list[str], boundary_lsn: int) -> Manifest:
+        """The copied files hold everything up to the boundary; waiting events after it count from now on."""
+        self.load_files(paths, boundary_lsn)
+        return self.log.commit(lambda old: replace(old, copying=False, copy_lsn=max(old.copy_lsn, boundary_lsn)))
+
+    def _resolved(self, m: Manifest, at_lsn: int | None = None) -> DataFrame:
+        """Visible events; what an initial copy has is left out, a streamed transaction being decided by its commit."""
+        events = cl.resolve(self._events(m), at_lsn)
+        return events.where(F.col("lsn") > m.copy_lsn) if m.copy_lsn else events
+
     def _events(self, m: Manifest) -> DataFrame:
         paths = [w["path"] for w in m.wal]
         schema = self._event_schema(m)
@@ -136,12 +178,17 @@ class Table:
         parts = []
         for group, masked in (([f for f in chosen if not f.deleted], False), ([f for f in chosen if f.deleted], True)):
             if group:
-                scan = self.spark.read.schema(m.struct).parquet(*[f.path for f in group])
-                if masked or positions:
-                    scan = dv.with_position(scan)
-                if masked:
-                    scan = dv.mask(scan, self.deleted(m))
-                parts.append(scan.select(*m.struct.names, *(["__file", "__row"] if positions else [])))
+                for block in _blocks(group) if masked else [group]:
+                    scan = self.spark.read.schema(m.struct).parquet(*[f.path for f in block])
+                    if masked or positions:
+                        scan = dv.with_position(scan)
+                    if masked:
+                        gone = self.deleted(m)
+                        if len(block) < len(group):
+                            gone = gone.where(F.col("file").isin([_plain(f.path) for f in block]))
+                        small = sum(f.deleted for f in block) <= BROADCAST_DELETES
+                        scan = dv.mask(scan, F.broadcast(gone) if small else gone)
+                    parts.append(scan.select(*m.struct.names, *(["__file", "__row"] if positions else [])))
         if parts:
             return fold(DataFrame.unionByName, parts)
         extra = [T.StructField("__file", T.StringType()), T.StructField("__row", T.LongType())] if positions else []
@@ -151,24 +198,46 @@ class Table:
         m = m or self.manifest
         return self.spark.read.schema(dv.SCHEMA).parquet(*m.deletes) if m.deletes else dv.empty(self.spark)
 
-    def read(self, min_lsn: int | None = None, timeout: float = 0.0, at_lsn: int | None = None) -> DataFrame:
+    def read(self, min_lsn: int | None = None, timeout: float = 0.0, at_lsn: int | None = None, prune: dict[str, tuple] | None = None) -> DataFrame:
         """Persisted and buffered rows together.
 
         min_lsn: how fresh the answer must be; when nothing that fresh is committed within
-        timeout, Temporary is raised.  at_lsn: leave out commits after it that aren't flushed.
+        timeout, Temporary is raised.  at_lsn: leave out commits after it that aren't
+        flushed.  prune: {column: (low, high)}, either end None: only rows in these ranges,
+        and files whose bounds are outside them aren't read.
         """
-        deadline = time.monotonic() + timeout
+        m = self._wait(lambda m: policy.may_read(min_lsn, m.commit_lsn, m.commit_lsn, m.replication_lsn), timeout, f"LSN {min_lsn} isn't committed")
+        wanted = fold(Column.__and__, [F.col(f"`{c}`") >= lo for c, (lo, _) in (prune or {}).items() if lo is not None] + [F.col(f"`{c}`") <= hi for c, (_, hi) in (prune or {}).items() if hi is not None], F.lit(True))
+        if not m.wal or m.copying:
+            return self.persisted(m, prune=prune).where(wanted)
+        removed, fresh = self._apply(m, self._resolved(m, at_lsn))
+        base = self.persisted(m, prune=prune) if removed is None else dv.mask(self.persisted(m, positions=True, prune=prune), removed).select(*m.struct.names)
+        return base.unionByName(fresh).where(wanted)
+
+    def read_cached(self, min_lsn: int | None = None, timeout: float = 0.0) -> DataFrame:
+        """The last plan again where its state is fresh enough for the request, else a new one."""
         m = self.manifest
-        while not policy.may_read(min_lsn, m.commit_lsn, m.commit_lsn, m.replication_lsn):
-            if time.monotonic() >= deadline:
-                raise Temporary(f"LSN {min_lsn} isn't committed; the table is at {m.commit_lsn}")
-            time.sleep(0.05)
-            m = self.manifest
-        if not m.wal:
-            return self.persisted(m)
-        removed, fresh = self._apply(m, cl.resolve(self._events(m), at_lsn))
-        base = self.persisted(m) if removed is None else dv.mask(self.persisted(m, positions=True), removed).select(*m.struct.names)
-        return base.unionByName(fresh)
+        if self._cached is None or not policy.may_serve_cached(min_lsn, self._cached[0].commit_lsn, self._cached[0].commit_lsn, m.commit_lsn):
+            df = self.read(min_lsn, timeout)
+            self._cached = (m, df)
+        return self._cached[1]
+
+    def begin_scan(self) -> tuple[Manifest, str]:
+        """(the state to read, a pin): until the pin is given back, vacuum keeps that state's files."""
+        pin, m = f"{self.path}/pins/{uuid.uuid4().hex}.json", self.manifest
+        self.files.replace(pin, json.dumps({"version": m.version}))
+        return m, pin
+
+    def end_scan(self, pin: str) -> None:
+        self.files.delete(pin)
+
+    def _pinned(self) -> set[str]:
+        """Paths that states with a pin need."""
+        out: set[str] = set()
+        for path, _ in self.files.list(f"{self.path}/pins"):
+            if path.endswith(".json"):
+                out |= _paths(self.log.at(json.loads(self.files.read(path))["version"]))
+        return out
 
     def _apply(self, m: Manifest, events: DataFrame) -> tuple[DataFrame | None, DataFrame]:
         """(positions of persisted rows that the events remove, rows that they leave). Only persisted rows with a key among the deletes take part."""
@@ -196,10 +265,12 @@ class Table:
         m = self.manifest
         if lsn is not None and lsn > m.commit_lsn:
             raise Temporary(f"LSN {lsn} isn't committed")
+        if m.copying:
+            raise Temporary("an initial copy is under way")
         if not m.wal:
             return m
         events = self._events(m)
-        removed, fresh = self._apply(m, cl.resolve(events))
+        removed, fresh = self._apply(m, self._resolved(m))
         added = self._write_rows(fresh, m, m.commit_lsn)
         delete_paths, per_file = self._write_deletes(removed)
         open_ = self._open(events)
@@ -216,6 +287,22 @@ class Table:
 
         return self.log.commit(change)
 
+    def tick(self) -> Manifest:
+        """What a timer does: flush when there is a reason for a snapshot and enough to persist, then maintain, as the table's settings say."""
+        m = self.manifest
+        config = self._config(m)
+        rows, deletes = sum(w["rows"] for w in m.wal), sum(w.get("deletes", 0) for w in m.wal)
+        if m.copying or not policy.should_snapshot(m.commit_lsn > m.flush_lsn, False, deletes, False, config):
+            return m
+        if not policy.should_persist(int(policy.should_flush(rows, config)), deletes, 0, m.commit_lsn, None, config):
+            return m
+        m = self.flush()
+        if not config.skip_data_compaction:
+            m = self.optimize("data", forced=False)
+        if not config.skip_index_merge:
+            m = self.merge_indexes(forced=False)
+        return m
+
     def _open(self, events: DataFrame) -> DataFrame:
         """Events that a later commit may still need: of transactions without an end, and after the last main commit."""
         ended = events.where(F.col("op").isin("C", "X") & F.col("xact_id").isNotNull()).select("xact_id").distinct()
@@ -241,16 +328,13 @@ class Table:
         return self.describe(folder, lsn, m.struct)
 
     def describe(self, path: str, lsn: int, schema: T.StructType) -> list[DataFile]:
-        """Manifest entries of a folder's Parquet files, from one pass over rows' counts and bounds; empty files are left out."""
-        found = dict((_plain(p), (p, n)) for p, n in self.files.parquet(path))
-        if not found:
-            return []
-        stats = file_stats(self.spark.read.schema(schema).parquet(*[p for p, _ in found.values()]), schema)
+        """Manifest entries of a folder's Parquet files, from their footers; empty files are left out."""
+        found = self.files.parquet(path)
         out = []
-        for row in stats.collect():
-            p, size = found[row["file"]]
-            values = {c: [_plain_value(row[f"{c}__min"]), _plain_value(row[f"{c}__max"]), row[f"{c}__nulls"]] for c in bounded_columns(schema)}
-            out.append(DataFile(p, row["num_rows"], size, lsn, 0, values))
+        for (p, size), raw in zip(found, self.files.footers([p for p, _ in found]), strict=True):
+            rows, stats = footer_stats(raw)
+            if rows:
+                out.append(DataFile(p, rows, size, lsn, 0, {c: stats[c] for c in bounded_columns(schema) if c in stats}))
         return sorted(out, key=lambda f: f.path)
 
     def _write_deletes(self, removed: DataFrame | None) -> tuple[list[str], dict[str, int]]:
@@ -264,9 +348,9 @@ class Table:
             return [], {}
         return [folder], counted
 
-    def create_snapshot(self, lsn: int) -> Manifest:
-        """Persist everything up to lsn; Temporary when it isn't committed yet."""
-        m = self.manifest
+    def create_snapshot(self, lsn: int, timeout: float = 0.0) -> Manifest:
+        """Persist everything up to lsn; Temporary when it isn't committed within timeout."""
+        m = self._wait(lambda m: m.flush_lsn >= lsn or m.commit_lsn >= lsn, timeout, f"LSN {lsn} isn't committed")
         if m.flush_lsn >= lsn:
             return m
         return self.flush(lsn)
@@ -343,29 +427,43 @@ class Table:
         found = index.join(wanted, fold(Column.__and__, same), "left_semi").distinct()
         return found.join(self.deleted(m), ["file", "row_index"], "left_anti")
 
-    def merge_indexes(self) -> Manifest:
-        """All sidecars as one."""
+    def index_sizes(self, m: Manifest | None = None) -> DataFrame:
+        """file and bytes of each sidecar."""
+        m = m or self.manifest
+        return self.spark.createDataFrame([(i["path"], i["bytes"]) for i in m.indexes], "file string, bytes bigint")
+
+    def merge_indexes(self, forced: bool = True, config: policy.IndexMergeConfig = policy.IndexMergeConfig()) -> Manifest:
+        """The chosen sidecars as one: small ones, when there are enough of them (forced: two)."""
         m = self.manifest
         if len(m.indexes) < 2:
             return m
+        config = config.forced() if forced else config
+        names = {r["file"] for r in policy.select_indexes_to_merge(self.index_sizes(m), config).select("file").collect()}
+        chosen = [i for i in m.indexes if i["path"] in names]
+        if len(chosen) < 2:
+            return m
         folder = f"{self.path}/index/{uuid.uuid4().hex}"
-        self.spark.read.parquet(*[i["path"] for i in m.indexes]).distinct().repartition("hash").sortWithinPartitions("hash").write.parquet(folder)
-        entry = {"path": folder, "bytes": sum(n for _, n in self.files.parquet(folder)), "files": sorted({f for i in m.indexes for f in i["files"]})}
+        self.spark.read.parquet(*[i["path"] for i in chosen]).distinct().repartition("hash").sortWithinPartitions("hash").write.parquet(folder)
+        entry = {"path": folder, "bytes": sum(n for _, n in self.files.parquet(folder)), "files": sorted({f for i in chosen for f in i["files"]})}
 
         def change(old: Manifest) -> Manifest:
-            if old.indexes != m.indexes:
+            if not all(i in old.indexes for i in chosen):
                 raise Temporary("indexes changed")
-            return replace(old, indexes=(entry,), removed=(*old.removed, *(i["path"] for i in m.indexes)))
+            return replace(old, indexes=(*(i for i in old.indexes if i not in chosen), entry), removed=(*old.removed, *(i["path"] for i in chosen)))
 
         return self.log.commit(change)
 
     def alter(self, drop: list[str] | None = None, add: list[T.StructField] | None = None) -> Manifest:
-        """Drop columns, then append new ones, which read as null in older files. Buffered events must be flushed first."""
+        """Drop columns, then append new ones, which read as null in older files.
+
+        Committed events are flushed first, by the old schema; those of open transactions
+        stay buffered, and are read by the new one once they commit.
+        """
         drop, add = drop or [], add or []
+        if self.manifest.wal:
+            self.flush()
 
         def change(old: Manifest) -> Manifest:
-            if old.wal:
-                raise Permanent("flush before altering")
             if set(drop) & set(old.keys):
                 raise InvalidArgument("a key column can't be dropped")
             fields = [f for f in old.struct.fields if f.name not in drop]
@@ -378,16 +476,39 @@ class Table:
         return self.log.commit(change)
 
     def vacuum(self) -> int:
-        """Delete folders and files that no longer count; readers of older versions must be done."""
+        """Delete folders and files that no longer count, but for those that a pinned state needs.
+
+        Only what lies in the table's own folder is deleted: files that load_files adopted
+        elsewhere belong to whoever put them there, and are merely forgotten.
+        """
         m = self.manifest
-        live = {f.path for f in m.files} | set(m.deletes) | {w["path"] for w in m.wal} | {i["path"] for i in m.indexes}
+        live = _paths(m) | self._pinned()
         gone = [p for p in m.removed if p not in live]
+        own = f"{_plain(self.path)}/"
         for p in gone:
-            self.files.delete(p)
+            if _plain(p).startswith(own) and ".." not in p.split("/"):
+                self.files.delete(p)
         self.log.commit(lambda old: replace(old, removed=tuple(p for p in old.removed if p not in gone)))
         return len(gone)
 
 
+def _paths(m: Manifest) -> set[str]:
+    return {f.path for f in m.files} | set(m.deletes) | {w["path"] for w in m.wal} | {i["path"] for i in m.indexes}
+
+
+def _blocks(files: list[DataFile]) -> list[list[DataFile]]:
+    """Files with deletes in blocks whose deletes can be broadcast, unless that takes too many blocks."""
+    blocks: list[list[DataFile]] = [[]]
+    held = 0
+    for f in files:
+        if blocks[-1] and held + f.deleted > BROADCAST_DELETES:
+            blocks.append([])
+            held = 0
+        blocks[-1].append(f)
+        held += f.deleted
+    return blocks if len(blocks) <= BLOCKS else [files]
+
+
 def nullable(kind: T.DataType) -> T.DataType:
     """The type with nulls allowed throughout: a delete by key has no other values, a commit has none."""
     if isinstance(kind, T.StructType):
@@ -407,6 +528,36 @@ def file_stats(scan: DataFrame, schema: T.StructType) -> DataFrame:
     return scan.select("*", path.alias("__file")).groupBy(F.col("__file").alias("file")).agg(F.count("*").alias("num_rows"), *aggregates)
 
 
+def footer_stats(footer: bytes) -> tuple[int, dict[str, list]]:
+    """(rows, {top-level column: [min, max, nulls]}) of a footer's Thrift bytes. Long texts' bounds are cut to a shorter bound."""
+    meta = pq.read_metadata(pa.BufferReader(b"PAR1" + footer + struct.pack("<I", len(footer)) + b"PAR1"))
+    found: dict[str, list] = {}
+    lacking: set[str] = set()
+    for g in range(meta.num_row_groups):
+        group = meta.row_group(g)
+        for k in range(group.num_columns):
+            column = group.column(k)
+            name, s = column.path_in_schema, column.statistics
+            if "." in name or s is None or not s.has_null_count or not (s.has_min_max or s.null_count == group.num_rows):
+                lacking.add(name)
+                continue
+            low, high = (_bound(s.min, False), _bound(s.max, True)) if s.has_min_max else (None, None)
+            if name not in found:
+                found[name] = [low, high, s.null_count]
+                continue
+            old = found[name]
+            found[name] = [min((x for x in (old[0], low) if x is not None), default=None), max((x for x in (old[1], high) if x is not None), default=None), old[2] + s.null_count]
+    return meta.num_rows, {c: [_plain_value(v[0]), _plain_value(v[1]), v[2]] for c, v in found.items() if c not in lacking}
+
+
+def _bound(value, upper: bool):
+    if isinstance(value, bytes):
+        return None
+    if isinstance(value, str) and len(value) > BOUND_CHARS:
+        return value[:BOUND_CHARS] + ("\U0010ffff" if upper else "")
+    return value
+
+
 def _plain(path: str) -> str:
     scheme, colon, rest = path.partition(":")
     return "/" + rest.lstrip("/") if colon and scheme.isalnum() else "/" + path.lstrip("/")
