@@ -231,6 +231,33 @@ def test_bpe(spark, tokenizer):
         assert got[i].decoded_sha256 == hashlib.sha256(back.encode()).hexdigest()
 
 
+RUNS = {"spaces": " " * 3_000_000, "line ends": "\n" * 1_200_000 + "x", "letters": "ab" * 600_000, "digits": "7" * 1_200_000, "symbols": "#!" * 600_000, "special": "a" + " " * 1_100_000 + "<|endoftext|> b"}
+
+
+@pytest.mark.parametrize("name", sorted(RUNS))
+def test_very_long_runs(tokenizer, name):
+    from tidemark.llm.bpe import Codec, compile_lexicon
+    from tidemark.llm.packing import encoder
+
+    ids = tokenizer.encode(RUNS[name], add_special_tokens=False).ids
+    assert encoder(tokenizer_path()).encode(RUNS[name]).tolist() == ids
+    ((n, text, back),) = Codec(tokenizer_path(), compile_lexicon(["x"], tokenizer_path())).encode([RUNS[name]])
+    assert n == len(ids) and text == ",".join(map(str, ids)) and back.decode() == RUNS[name]
+
+
+def test_merge_equals_the_library(tokenizer):
+    from tidemark.llm.packing import encoder
+
+    rng, enc = random.Random(2), encoder(tokenizer_path())
+    for text in odd_texts():
+        for piece in enc.pieces(text or ""):
+            if piece not in enc.special:
+                assert enc.ids_of(piece) == tokenizer.encode(piece, add_special_tokens=False).ids
+    for _ in range(2000):
+        piece = "".join(chr(rng.choice([rng.randrange(97, 123), rng.randrange(0xC0, 0x250), rng.randrange(0x400, 0x460)])) for _ in range(rng.randrange(1, 40)))
+        assert [i for p in enc.pieces(piece) for i in enc.ids_of(p)] == tokenizer.encode(piece, add_special_tokens=False).ids
+
+
 def test_transducer_is_minimal_and_maps(tmp_path):
     from tidemark.llm.bpe import Transducer
 

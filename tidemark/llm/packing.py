@@ -11,12 +11,15 @@ open sequences of a group is a fixed small share.
 
 from __future__ import annotations
 
+import heapq
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,14 +53,74 @@ def load_vocabulary(path: str) -> tuple[dict[bytes, int], dict[str, int]]:
 
 #: Fixed value: how byte-level BPE of this family splits a text before merging.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_encoders: dict[str, tiktoken.Encoding] = {}
-
-
-def encoder(path: str) -> tiktoken.Encoding:
+#: Texts of more characters are split and merged here: the library's splitter runs out of stack in a run of white space of about a million.
+LONG = 400_000
+_SPLITTER = regex.compile(SPLIT)
+
+
+def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of one piece: of neighbours whose union is in the vocabulary, those of the lowest id join first, from the left."""
+    if piece in ranks:
+        return [ranks[piece]]
+    n = len(piece)
+    stop, before, after = list(range(1, n + 1)), list(range(-1, n - 1)), [*range(1, n), -1]  # of the part that starts here
+    heap = [(r, i) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
+    heapq.heapify(heap)
+    alive = bytearray(b"\x01" * n)
+
+    def offer(i: int) -> None:
+        j = after[i]
+        if j >= 0 and (r := ranks.get(piece[i : stop[j]])) is not None:
+            heapq.heappush(heap, (r, i))
+
+    while heap:
+        r, i = heapq.heappop(heap)
+        j = after[i]
+        if not alive[i] or j < 0 or ranks.get(piece[i : stop[j]]) != r:
+            continue  # a neighbour has joined another since
+        stop[i], after[i], alive[j] = stop[j], after[j], 0
+        if after[i] >= 0:
+            before[after[i]] = i
+        if before[i] >= 0:
+            offer(before[i])
+        offer(i)
+    return [ranks[piece[i : stop[i]]] for i in range(n) if alive[i]]
+
+
+class Encoder:
+    """Splits texts and merges their pieces, for one vocabulary."""
+
+    def __init__(self, path: str):
+        self.ranks, self.special = load_vocabulary(path)
+        self.tiktoken = tiktoken.Encoding(path, pat_str=SPLIT, mergeable_ranks=self.ranks, special_tokens=self.special)
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+
+    def pieces(self, text: str) -> list[str]:
+        """Words and special strings, in order."""
+        if self.cut is None or not any(s in text for s in self.special):
+            return _SPLITTER.findall(text)
+        out: list[str] = []
+        for i, part in enumerate(self.cut.split(text)):
+            out += [part] if i % 2 else _SPLITTER.findall(part)
+        return out
+
+    def ids_of(self, piece: str) -> list[int]:
+        return [self.special[piece]] if piece in self.special else merge(piece.encode(), self.ranks)
+
+    def encode(self, text: str) -> np.ndarray:
+        if len(text) <= LONG:
+            return self.tiktoken.encode_to_numpy(text, allowed_special="all")
+        known: dict[str, list[int]] = {}
+        return np.array([i for p in self.pieces(text) for i in (known[p] if p in known else known.setdefault(p, self.ids_of(p)))], "<u4")
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
     """One for each worker process and vocabulary."""
     if path not in _encoders:
-        ranks, special = load_vocabulary(path)
-        _encoders[path] = tiktoken.Encoding(path, pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special)
+        _encoders[path] = Encoder(path)
     return _encoders[path]
 
 
@@ -116,7 +179,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, e
             ids, texts, grp = batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()
             rows: list[tuple] = []
             for i, g, text in zip(ids, grp, texts, strict=True):
-                tokens = np.append(enc.encode_to_numpy(text.as_py() or "", allowed_special="all"), end_id).astype("<u4")
+                tokens = np.append(enc.encode(text.as_py() or ""), end_id).astype("<u4")
                 n = len(tokens)
                 rows += [(i, g, at, min(length, n - at), zlib.crc32(tokens[at : at + length].tobytes()), n) for at in range(0, n, length)]
             names = ("doc_id", "grp", "start", "length", "ids_crc32", "doc_tokens")
