@@ -339,3 +339,25 @@ def test_vectors(spark):
     n, want = Counter(x for e in edges for x in e), base(edges, range(len(rows)))
     got = link_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int, rep string"), tile=32).collect()
     assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == {i: (n[i], want[i], want[i] == i) for i in want}
+
+
+def test_vectors_that_share_an_id(spark):
+    one, other = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(1, one, 0), (1, other, 0), (2, [1.0, 0.01, 0.0], 0), (3, [0.0, 1.0, 0.01], 0), (4, [1e200, 0.0, 0.0], 0), (5, [0.0, 1e-320, 0.0], 0), (6, [0.0, 0.0, 1e-200], 0)]
+    got = sorted(map(tuple, link_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")).collect()))
+    assert got == [(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 2, 1, False), (5, 2, 1, False), (6, 0, 6, True)]
+    assert [tuple(r) for r in link_vectors(spark.createDataFrame(rows[:3], "vec_id bigint, embedding array<double>, label int")).orderBy("vec_id", "n_links").collect()] == [(1, 0, 1, True), (1, 1, 1, True), (2, 1, 1, False)]
+
+
+def test_quantisation_bounds_hold():
+    from tidemark.llm.vector_dedup import Side, judged, quantise
+
+    rng = np.random.default_rng(4)
+    for dim in (1, 3, 64, 1500):
+        x = rng.standard_normal((300, dim)) * 10.0 ** rng.integers(-3, 3, (300, 1))
+        x[150:] = x[:150] + rng.standard_normal((150, dim)) * np.abs(x[:150]).mean(axis=1, keepdims=True) * 0.3
+        unit = x / np.linalg.norm(x, axis=1)[:, None]
+        true, side = unit @ unit.T >= 0.93, Side(*quantise(x))
+        for at, sure, unsure in judged(side, side, 0.93, False):
+            here = true[at : at + len(sure)]
+            assert not (sure & ~here).any() and not (here & ~sure & ~unsure).any()
