@@ -84,6 +84,45 @@ def test_a_sample_keeps_the_share_of_a_hot_url(spark):
     assert abs(got["h:hot", "block"] - 1 / 3) < 0.05 and abs(got["h:cold", "allow"] - 2 / 3) < 0.05
 
 
+def apriori(rows, how):
+    """Rules (items, verdict) -> (confidence, support) by trying every combination, less those that a shorter one implies."""
+    from itertools import combinations
+
+    often, right = Counter(), Counter()
+    for tokens, verdict in rows:
+        for size in range(1, how.max_tokens + 1):
+            for c in combinations(sorted(tokens), size):
+                often[c] += 1
+                right[c, verdict] += 1
+    found = {k: (n / often[k[0]], n / len(rows)) for k, n in right.items() if n >= how.min_support * len(rows) and n >= how.min_confidence * often[k[0]]}
+    implied = lambda items, verdict, c: any(v == verdict and len(i) < len(items) and set(i) < set(items) and sc >= c for (i, v), (sc, _) in found.items())
+    return {k: v for k, v in found.items() if not implied(*k, v[0])}
+
+
+def test_mined_rules_equal_apriori(spark):
+    rng, how = random.Random(9), Mining(min_support=0.03, min_confidence=0.8)
+    rows = []
+    for _ in range(300):
+        tokens = sorted(rng.sample([f"p:{c}" for c in "abcdefghij"], rng.randrange(1, 7)))
+        likely = ("p:a" in tokens and "p:b" in tokens) or "p:c" in tokens
+        rows.append((tokens, "block" if likely ^ (rng.random() < 0.08) else "allow"))
+    got = {(tuple(r["items"]), r.verdict): (r.confidence, r.support) for r in mine_rules(spark.createDataFrame(rows, "tokens array<string>, verdict string"), how).collect()}
+    want = apriori(rows, how)
+    assert set(got) == set(want) and len(want) > 5
+    assert all(np.allclose(got[k], want[k]) for k in want)
+
+
+def test_mining_is_bounded(spark):
+    import time
+
+    words = "/".join(f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(40))
+    rows = [(f"http://a{i}.test/{words}/{'casino' if i % 2 else 'news'}/x", "block" if i % 2 else "allow") for i in range(200)]
+    pages = spark.createDataFrame([(1, f"http://new.test/{words}/casino/y"), (2, f"http://new.test/{words}/news/y")], "page_id bigint, url string")
+    begin = time.monotonic()
+    got = filter_urls(pages, labels=spark.createDataFrame(rows, "url string, verdict string")).collect()
+    assert {r.page_id: r.verdict for r in got} == {1: "block", 2: "allow"} and time.monotonic() - begin < 60
+
+
 # ---- WARC
 
 

@@ -33,11 +33,18 @@ class UrlRule:
 
 @dataclass(frozen=True)
 class Mining:
-    """sample: labelled URLs mined at most, in expectation; chosen alike on each run, and equal URLs as often as their share asks for."""
+    """sample: labelled URLs mined at most, in expectation; chosen alike on each run, and equal URLs as often as their share asks for.
+
+    max_items: tokens of a labelled URL that are mined at most, those that tell most about
+    its label (see `telling`).  So at most 2 ** (max_items + 1) / min_support combinations
+    are supported, however many tokens URLs share.  max_tokens: of a rule.  URLs are
+    judged by all their tokens.
+    """
 
     min_support: float = 0.01
     min_confidence: float = 0.9
     max_tokens: int = 3
+    max_items: int = 8
     sample: int = 200_000
 
 
@@ -74,6 +81,20 @@ def tokens(host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(parts(host, r"\.", "h:"), parts(host, r"[.-]", "t:"), F.transform(words, lambda x: F.concat(F.lit("p:"), x))))
 
 
+def telling(labelled: DataFrame, n: int, mining: Mining) -> tuple[Column, Column]:
+    """(an expression over tokens and a map column `scores`, that map): the tokens of a labelled (tokens, verdict) that are mined: supported ones, by how surely they have one verdict, then by support and name.
+
+    A token of a rule with enough support has it itself, so others are in no rule.  The
+    supported tokens are one map: at most tokens in a URL / min_support of them.
+    """
+    alone = labelled.select(F.explode("tokens").alias("token"), "verdict").groupBy("token", "verdict").agg(F.count("*").alias("n"))
+    known = alone.groupBy("token").agg(F.max("n").alias("most"), F.sum("n").alias("n")).where(F.col("n") >= mining.min_support * n)
+    scores = known.agg(F.map_from_entries(F.collect_list(F.struct("token", F.struct((-F.col("most") / F.col("n")).alias("a"), (-F.col("n")).alias("b"))))).alias("scores"))
+    looked_up = F.transform("tokens", lambda t: F.struct(F.element_at("scores", t).alias("score"), t.alias("token")))
+    best = F.slice(F.array_sort(F.filter(looked_up, lambda x: x["score"].isNotNull())), 1, mining.max_items)
+    return F.transform(best, lambda x: x["token"]), scores.select("scores").scalar()
+
+
 def mine_rules(labelled: DataFrame, mining: Mining = Mining()) -> DataFrame:
     """Rules from labelled (tokens, verdict): items, verdict, confidence, support. Rules are few: each holds for at least a min_support share."""
     labelled = labelled.where(F.col("verdict").isNotNull() & (F.size("tokens") > 0))
@@ -83,7 +104,8 @@ def mine_rules(labelled: DataFrame, mining: Mining = Mining()) -> DataFrame:
         alike = labelled.groupBy("tokens", "verdict").agg(F.count("*").alias("n"))
         stays = F.floor(F.col("n") * (mining.sample / n) + F.pmod(F.xxhash64("tokens", "verdict"), F.lit(1 << 31)) / (1 << 31))
         labelled = alike.withColumn("stays", stays).where("stays > 0").select("tokens", "verdict", F.explode(F.sequence(F.lit(1), F.col("stays"))))
-    items = labelled.select(F.concat("tokens", F.array(F.concat(F.lit("="), "verdict"))).alias("items"))
+    tokens_, scores = telling(labelled, labelled.count(), mining)
+    items = labelled.withColumn("scores", scores).select(F.concat(tokens_, F.array(F.concat(F.lit("="), "verdict"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=mining.min_support, minConfidence=mining.min_confidence).fit(items)
     rules = model.associationRules.where(F.col("consequent")[0].startswith("=") & (F.size("antecedent") <= mining.max_tokens))
     rules = rules.select(F.array_sort("antecedent").alias("items"), F.substring(F.col("consequent")[0], 2, 100).alias("verdict"), "confidence", "support")
