@@ -54,6 +54,28 @@ def test_quality(spark):
     assert np.mean([r.kept for r in tested]) > 0.9
 
 
+def test_windows_cover_texts_once_and_read_alike():
+    import pyarrow as pa
+
+    from tidemark.llm.langid import CORE, MARGIN, ByteGRU, LanguageModel, padded, windows
+    from tidemark.llm.textvec import Texts
+
+    t = Texts(pa.array(["", None, "a", "x" * CORE, "y \n" * 1000, "é" * CORE]))
+    start, stop, begin, end, doc = windows(t)
+    for i in range(t.n):
+        at = t.doc_start[i]
+        for k in np.flatnonzero(doc == i):
+            assert begin[k] == at and t.doc_start[i] <= start[k] <= max(begin[k] - MARGIN, t.doc_start[i]) and stop[k] == min(end[k] + MARGIN, t.doc_end[i])
+            at = end[k]
+        assert at == t.doc_end[i]
+    net = ByteGRU(3, 5, 4, 2)
+    bytes_, mask = padded(t.data, start, stop)
+    assert np.allclose(net.read(bytes_, mask)[mask > 0], net.forward(bytes_, mask)[0][mask > 0], atol=1e-5)
+    total, count = LanguageModel(["a", "b", "c"], net, np.ones(3) / 3).pooled(t)
+    one, whole = padded(t.data, t.doc_start[2:4], t.doc_end[2:4])
+    assert np.allclose(total[2:4], (net.forward(one, whole)[0] * whole[:, :, None]).sum(0), atol=1e-3) and list(count) == [0, 0, 1, CORE, 3000, 2 * CORE]
+
+
 def test_network_gradients():
     from tidemark.llm.langid import ByteGRU
 

@@ -1,11 +1,11 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads the bytes of a segment (a word, or 32 bytes of a longer one) in both
-directions and gives every position log-probabilities of the languages; a text's
-probability pools the positions of all its segments.  It is trained here, in numpy, by
-backpropagation through time.  A segment's result depends on its bytes alone, so each
-worker computes each distinct segment once and keeps it in a bounded table; every
-position of every text still counts.
+The network reads a text's bytes in both directions, over words and lines alike, and gives
+every position log-probabilities of the languages; a text's probability pools all its
+positions.  Long texts are read in windows that overlap: each window's core follows the
+last one's, and a margin on either side gives the states their context, so every position
+is labelled once, with at least MARGIN bytes of the text before and after it.  The network
+is trained here, in numpy, by backpropagation through time.
 """
 
 from __future__ import annotations
@@ -20,22 +20,25 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.linear import held_out
 from tidemark.llm.storage import bounded_batches
-from tidemark.llm.textvec import Texts, runs, slices
+from tidemark.llm.textvec import Texts, slices
 
 UNKNOWN = "und"
-SEGMENT = 32
+#: Bytes of a window's core and of its margins, and windows that are read at once.
+CORE, MARGIN, TOGETHER = 160, 12, 1024
+#: A text's evidence is that of at most so many positions: positions of one text are far from independent.
+SHARP = 40
 
 
 @dataclass(frozen=True)
 class Training:
-    """docs: labelled texts at most, of at most max_chars; steps of batch segments drawn from them."""
+    """docs: labelled texts at most, of at most max_chars; steps of batch windows drawn from them."""
 
     docs: int = 3000
     max_chars: int = 20_000
-    hidden: int = 16
+    hidden: int = 12
     embed: int = 12
-    steps: int = 900
-    batch: int = 256
+    steps: int = 300
+    batch: int = 64
     rate: float = 0.01
     seed: int = 5
 
@@ -89,6 +92,36 @@ class ByteGRU:
         saved["hidden"] = hidden
         return logp, saved
 
+    def read(self, bytes_: np.ndarray, mask: np.ndarray | None) -> np.ndarray:
+        """forward's log-probabilities, without what learning needs, in buffers that are used again. mask None: all ones."""
+        p, h, (steps, n) = self.p, self.h, bytes_.shape
+        both = []
+        for d in "fb":
+            table = p["emb"] @ p[f"w{d}"] + p[f"c{d}"]
+            gates, new = np.ascontiguousarray(-table[:, : 2 * h]), np.ascontiguousarray(table[:, 2 * h :])
+            u, v = -p[f"u{d}"], p[f"v{d}"]
+            state, out = np.zeros((n, h), np.float32), np.empty((steps, n, h), np.float32)
+            zr, c, reset = np.empty((n, 2 * h), np.float32), np.empty((n, h), np.float32), np.empty((n, h), np.float32)
+            for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
+                np.matmul(state, u, out=zr)
+                zr += gates[bytes_[t]]
+                np.exp(zr, out=zr)
+                zr += 1
+                np.reciprocal(zr, out=zr)
+                np.multiply(zr[:, h:], state, out=reset)
+                np.matmul(reset, v, out=c)
+                c += new[bytes_[t]]
+                np.tanh(c, out=c)
+                c -= state
+                c *= zr[:, :h]
+                if mask is not None:
+                    c *= mask[t][:, None]
+                state = np.add(state, c, out=out[t])
+            both.append(out)
+        logits = both[0] @ p["out"][:h] + both[1] @ p["out"][h:] + p["bias"]
+        logits -= logits.max(axis=2, keepdims=True)
+        return logits - np.log(np.exp(logits).sum(axis=2, keepdims=True))
+
     def gradients(self, bytes_: np.ndarray, mask: np.ndarray, label: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss over positions, and its gradients by backpropagation through time."""
         p, h = self.p, self.h
@@ -129,17 +162,19 @@ class LanguageModel:
     net: ByteGRU | None
     prior: np.ndarray
 
-    def segment_sums(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Per segment, the sum over its positions of their log-probabilities."""
-        length = end - start
-        out = np.zeros((len(start), len(self.languages)), np.float32)
-        order = np.argsort(length, kind="stable")
-        for at in range(0, len(order), 2048):
-            rows = order[at : at + 2048]
-            bytes_, mask = padded(data, start[rows], end[rows])
-            logp, _ = self.net.forward(bytes_, mask)
-            out[rows] = (logp * mask[:, :, None]).sum(0)
-        return out
+    def pooled(self, t: Texts) -> tuple[np.ndarray, np.ndarray]:
+        """Per text, the sum over all its positions of their log-probabilities, and their number."""
+        start, stop, begin, end, doc = windows(t)
+        out = np.zeros((t.n, len(self.languages)))
+        order = np.argsort(stop - start, kind="stable")
+        for at in range(0, len(order), TOGETHER):
+            rows = order[at : at + TOGETHER]
+            bytes_, mask = padded(t.data, start[rows], stop[rows])
+            logp = self.net.read(bytes_, None if mask.all() else mask)
+            place = np.arange(len(bytes_))[:, None] + start[rows]
+            core = (place >= begin[rows]) & (place < end[rows])
+            np.add.at(out, doc[rows], np.einsum("tbc,tb->bc", logp, core.astype(np.float32)))
+        return out, t.doc_end - t.doc_start
 
 
 def padded(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -148,21 +183,23 @@ def padded(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
     return np.where(mask, data[np.minimum(start[None, :] + time, len(data) - 1)], 0), mask.astype(np.float32)
 
 
-def segments(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, text number): words, long ones in pieces of SEGMENT bytes."""
-    start, end, doc = t.words()
-    pieces = -(-(end - start) // SEGMENT)
-    if (pieces > 1).any():
-        word = np.repeat(np.arange(len(start)), pieces)
-        nth = np.arange(len(word)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        start, end, doc = start[word] + nth * SEGMENT, np.minimum(start[word] + (nth + 1) * SEGMENT, end[word]), doc[word]
-    return start, end, doc
+def windows(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, stop, start of the core, end of the core, text number) of the windows of all texts that aren't empty."""
+    size = t.doc_end - t.doc_start
+    number = -(-size // CORE)
+    doc = np.repeat(np.arange(t.n), number)
+    nth = np.arange(len(doc)) - np.repeat(np.cumsum(number) - number, number)
+    begin = t.doc_start[doc] + nth * CORE
+    end = np.minimum(begin + CORE, t.doc_end[doc])
+    return np.maximum(begin - MARGIN, t.doc_start[doc]), np.minimum(end + MARGIN, t.doc_end[doc]), begin, end, doc
 
 
 def train(texts: list[str], labels: list[str], how: Training = Training()) -> LanguageModel:
-    """Fit on (text, language) pairs; segments are drawn alike from each language. Texts without a word teach nothing, nor does a language that has no others."""
+    """Fit on (text, language) pairs; windows are drawn alike from each language. Texts without a word teach nothing, nor does a language that has no others."""
     t = Texts(pa.array(texts, pa.large_string()))
-    start, end, doc = segments(t)
+    start, end, _, _, doc = windows(t)
+    used = np.isin(doc, t.words()[2])
+    start, end, doc = start[used], end[used], doc[used]
     worded = [labels[i] for i in np.unique(doc)]
     languages = sorted(set(worded))
     counts = np.array([worded.count(x) for x in languages], float)
@@ -189,54 +226,21 @@ def train(texts: list[str], labels: list[str], how: Training = Training()) -> La
     return LanguageModel(languages, net, prior)
 
 
-class Scorer:
-    """Scores slices of texts; holds the sums of segments seen, at most `room` of them."""
-
-    def __init__(self, model: LanguageModel, room: int = 1_000_000):
-        self.model, self.room = model, room
-        self.keys, self.sums = np.empty(0, np.uint64), np.empty((0, len(model.languages)), np.float32)
-
-    def score(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
-        t, m = Texts(texts), self.model
-        pooled, count = np.zeros((t.n, len(m.languages))), np.zeros(t.n)
-        if m.net is not None:
-            start, end, doc = segments(t)
-            h = t.hashes(start, end)
-            order = np.argsort(h, kind="stable")
-            at, _ = runs(h[order])
-            keys, where = h[order][at], order[at]
-            inverse = np.empty(len(h), np.int64)
-            inverse[order] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(h))))
-            sums = np.zeros((len(keys), len(m.languages)), np.float32)
-            slot = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
-            known = self.keys[slot] == keys if len(self.keys) else np.zeros(len(keys), bool)
-            sums[known] = self.sums[slot[known]]
-            new = ~known
-            if new.any():
-                sums[new] = m.segment_sums(t.data, start[where[new]], end[where[new]])
-                if len(self.keys) + new.sum() > self.room:
-                    self.keys, self.sums = keys[:0], sums[:0]
-                put = np.searchsorted(self.keys, keys[new][: self.room])
-                self.keys, self.sums = np.insert(self.keys, put, keys[new][: self.room]), np.insert(self.sums, put, sums[new][: self.room], axis=0)
-            for c in range(len(m.languages)):
-                pooled[:, c] = np.bincount(doc, sums[inverse, c], t.n)
-            count = np.bincount(doc, end - start, t.n)
-        # positions of one text are far from independent: their evidence is averaged, then weighed as SHARP of them
-        mean = pooled / np.maximum(count, 1)[:, None] * np.minimum(count, SHARP)[:, None] + 1e-9 * np.log(np.maximum(m.prior, 1e-12))
-        mean -= mean.max(axis=1, keepdims=True) if len(m.languages) else 0
-        prob = np.exp(mean)
-        prob /= prob.sum(axis=1, keepdims=True)
-        best = prob.argmax(axis=1) if len(m.languages) else np.zeros(t.n, int)
-        names, score = [], np.zeros(t.n)
-        for i, text in enumerate(texts):
-            letters = text.is_valid and len(m.languages) and any(map(str.isalpha, text.as_py()))
-            names.append(m.languages[best[i]] if letters else UNKNOWN)
-            score[i] = prob[i, best[i]] if letters else 0.0
-        return names, score
-
-
-SHARP = 40
-
+def score_texts(m: LanguageModel, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+    """(language, probability) of each text."""
+    t = Texts(texts)
+    total, count = m.pooled(t) if m.net is not None else (np.zeros((t.n, len(m.languages))), np.zeros(t.n))
+    mean = total / np.maximum(count, 1)[:, None] * np.minimum(count, SHARP)[:, None] + 1e-9 * np.log(np.maximum(m.prior, 1e-12))
+    mean -= mean.max(axis=1, keepdims=True) if len(m.languages) else 0
+    prob = np.exp(mean)
+    prob /= prob.sum(axis=1, keepdims=True)
+    best = prob.argmax(axis=1) if len(m.languages) else np.zeros(t.n, int)
+    names, score = [], np.zeros(t.n)
+    for i, text in enumerate(texts):
+        letters = text.is_valid and len(m.languages) and any(map(str.isalpha, text.as_py()))
+        names.append(m.languages[best[i]] if letters else UNKNOWN)
+        score[i] = prob[i, best[i]] if letters else 0.0
+    return names, score
 
 
 def training_sample(docs: DataFrame, how: Training) -> tuple[list[str], list[str]]:
@@ -262,10 +266,9 @@ def identify(docs: DataFrame, model: LanguageModel | None = None) -> DataFrame:
     model = model or train_on(docs)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model)
         for batch in batches:
             for at, texts in slices(batch.column(2)):
-                names, score = scorer.score(texts)
+                names, score = score_texts(model, texts)
                 n = len(texts)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), batch.column(1).slice(at, n), pa.array(names, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
@@ -273,17 +276,21 @@ def identify(docs: DataFrame, model: LanguageModel | None = None) -> DataFrame:
 
 
 def keep_languages(docs: DataFrame, model: LanguageModel | None = None, languages: tuple[str, ...] | None = None, min_score: float = 0.3) -> DataFrame:
-    """The rows of docs, with all their columns, that are in one of `languages` (None: any learned one) with at least min_score."""
+    """The rows of docs, with all their columns, that are in one of `languages` (None: any learned one) with at least min_score.
+
+    Null texts and texts without a letter go, as do all when no language could be
+    learned.  Repeated rows go or stay alike, a null doc_id makes no difference, and an
+    empty table gives an empty result.
+    """
     bounded_batches(docs.sparkSession)
     model = model or train_on(docs)
     at_text = docs.columns.index("text")
     wanted = set(model.languages if languages is None else languages)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model)
         for batch in batches:
             for at, texts in slices(batch.column(at_text)):
-                names, score = scorer.score(texts)
+                names, score = score_texts(model, texts)
                 mask = [n in wanted and s >= min_score for n, s in zip(names, score, strict=True)]
                 yield batch.slice(at, len(texts)).filter(pa.array(mask, pa.bool_()))
 
