@@ -47,6 +47,47 @@ def test_toxicity(spark):
     assert np.mean([(p > n) + 0.5 * (p == n) for p in pos for n in neg]) > 0.85
 
 
+def test_voters_accuracies_are_estimated():
+    """On made votes: rates within the classes are found from votes alone, and labels only name the classes."""
+    from tidemark.llm.toxicity import fit_label_model
+
+    rng = np.random.default_rng(6)
+    y = (rng.random(6000) < 0.2).astype(int)
+    on, off = np.array([0.8, 0.7, 0.6, 0.5, 0.75]), np.array([0.05, 0.1, 0.02, 0.2, 0.05])
+    votes = (rng.random((6000, 5)) < np.where(y[:, None] == 1, on, off)).astype(np.int8)
+    votes = np.concatenate([votes, np.where(rng.random((6000, 1)) < 0.9, votes[:, :1], 1 - votes[:, :1])], axis=1).astype(np.int8)  # a voter that follows the first
+    label = np.where(np.arange(6000) < 300, y, -1)
+    model, q = fit_label_model(votes, label, np.ones(6000), 15, 100.0)
+    rates = model.rates()
+    assert np.abs(rates[:5, 1] - on).max() < 0.08 and np.abs(rates[:5, 0] - off).max() < 0.05 and abs(model.prior - y.mean()) < 0.04
+    assert {model.parent[5], model.parent[0]} & {0, 5}  # the two are tied
+    assert np.mean((q > 0.5) == y) > 0.95
+
+
+def test_no_label_reaches_a_score():
+    from tidemark.llm.toxicity import train
+
+    rng = np.random.default_rng(1)
+    words = [f"w{i}" for i in range(50)]
+    rows = [(" ".join(rng.choice(words, 30)) + (" idiot scum" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(200)]
+    model = train(rows, more=[" ".join(rng.choice(words, 30)) for _ in range(50)])
+    from tidemark.llm.toxicity import Words
+    import pyarrow as pa
+
+    score = model.score(Words(pa.array(["you idiot scum", "w1 w2 w3", "", None])))
+    assert score[0] > 0.5 and (score[1:] < 0.5).all() and ((score >= 0) & (score <= 1)).all()
+
+
+@given
+def test_quality_verdicts(spark):
+    """The calibrated probability tells the labels apart on held-out rows that pass the base rules."""
+    truth = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    tested = [r for r in queries.op6_quality(spark, SF).collect() if held(r.doc_id) and truth.get(r.doc_id) is not None]
+    good, bad = [r for r in tested if truth[r.doc_id] == 1], [r for r in tested if truth[r.doc_id] == 0]
+    assert np.mean([r.kept for r in good]) - np.mean([r.kept for r in bad]) > 0.5
+    assert all(r.kept == (not r.base_failed and r.probability >= 0.3) for r in tested)
+
+
 @given
 def test_quality(spark):
     truth = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
