@@ -1,8 +1,8 @@
 """Quality rules: measured base rules, and a hashed n-gram logistic regression with calibrated probability.
 
 All measures are taken on whole texts, a slice of a batch at a time (see textvec).  The
-classifier reads mean weights of hashed words and hashed runs of three characters; it
-is trained on labelled quality rows and calibrated on labelled rows kept apart.  Fixed
+classifier reads mean weights of hashed words, hashed pairs of words and hashed runs of
+three characters; it is trained on labelled quality rows and calibrated on labelled rows kept apart.  Fixed
 thresholds decide.
 """
 
@@ -56,10 +56,13 @@ class QualityModel:
 
 
 def entries(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, bucket, value) of each word and each run of GRAM characters; words use the first half of the buckets."""
+    """(text, bucket, value) of each word, each pair of words and each run of GRAM characters; words and pairs use the first half of the buckets."""
     start, end, doc = t.words()
+    hashes = t.hashes(start, end)
+    first_word, pair = windows(hashes, doc, 2)
+    word = (np.concatenate([hashes, pair]) & np.uint64(BUCKETS - 1)).astype(np.int64)
+    doc = np.concatenate([doc, doc[first_word]])
     n = np.maximum(np.bincount(doc, minlength=t.n), 1)
-    word = (t.hashes(start, end) & np.uint64(BUCKETS - 1)).astype(np.int64)
     lead = np.flatnonzero((t.data & 0xC0) != 0x80)
     first, last = lead[:-GRAM], lead[GRAM:]
     lead_doc = t.doc_of(first)
@@ -96,9 +99,9 @@ def measures(t: Texts) -> dict[str, np.ndarray]:
     worded = words_before[1] > words_before[0]
     begin, stop = begin[worded], stop[worded]
     line_doc = t.doc_of(begin)
-    _, earlier = repeated(line_doc, t.hashes(begin, stop))
+    _, earlier = repeated(line_doc, t.identities(begin, stop))
     n_dup = np.bincount(line_doc, earlier, t.n).astype(np.int64)
-    first, h = windows(t.hashes(start, end), doc, REPEAT_WINDOW)
+    first, h = windows(t.identities(start, end), doc, REPEAT_WINDOW)
     twice, _ = repeated(doc[first], h)
     cover = np.zeros(len(start) + 1, np.int64)
     np.add.at(cover, first[twice], 1)
@@ -114,9 +117,9 @@ def measures(t: Texts) -> dict[str, np.ndarray]:
 
 
 def train(rows: list[tuple[str, int]], how: Training = Training()) -> QualityModel | None:
-    """None when the rows don't show both labels: then only the base rules decide."""
+    """None when the rows don't show both labels, so that there is nothing to learn: then only the base rules decide. When a share of them kept apart wouldn't show both, all rows serve for both purposes."""
     y = np.array([label for _, label in rows], float)
-    if len(rows) < 20 or y.min() == y.max():
+    if not len(rows) or y.min() == y.max():
         return None
     apart = np.random.default_rng(3).random(len(rows)) < how.calibrate
     if min(y[~apart].sum(), (1 - y[~apart]).sum()) < 2 or y[apart].min(initial=1) == y[apart].max(initial=0):
@@ -172,7 +175,11 @@ def judge(docs: DataFrame, model: QualityModel | None, min_probability: float =
 
 
 def keep_good(docs: DataFrame, model: QualityModel | None, min_probability: float = MIN_PROBABILITY) -> DataFrame:
-    """The rows of docs, with all their columns, that `judge` keeps."""
+    """The rows of docs, with all their columns, that `judge` keeps.
+
+    Null and empty texts go, a null doc_id makes no difference, repeated rows go or stay
+    alike, and an empty table gives an empty result.
+    """
     shared, at_text = _shared(docs, model), docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
