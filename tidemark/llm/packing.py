@@ -56,6 +56,7 @@ SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Texts of more characters are split and merged here: the library's splitter runs out of stack in a run of white space of about a million.
 LONG = 400_000
 _SPLITTER = regex.compile(SPLIT)
+_NEVER = 1 << 40
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -63,6 +64,18 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     if piece in ranks:
         return [ranks[piece]]
     n = len(piece)
+    if n <= 64:  # a heap only pays for itself in longer ones
+        parts = [piece[i : i + 1] for i in range(n)]
+        pairs = [ranks.get(piece[i : i + 2], _NEVER) for i in range(n - 1)]
+        while pairs and (low := min(pairs)) < _NEVER:
+            i = pairs.index(low)
+            parts[i] += parts.pop(i + 1)
+            pairs.pop(i)
+            if i < len(pairs):
+                pairs[i] = ranks.get(parts[i] + parts[i + 1], _NEVER)
+            if i:
+                pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], _NEVER)
+        return [ranks[x] for x in parts]
     stop, before, after = list(range(1, n + 1)), list(range(-1, n - 1)), [*range(1, n), -1]  # of the part that starts here
     heap = [(r, i) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
     heapq.heapify(heap)
