@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept;
 all but the last return the columns of documents.  run() writes each stage's rows to the
 shared folder and reads them back.
+
+Null and empty texts go at the first stage.  Rows with a null doc_id are judged by their
+texts and never dropped as near copies.  Rows equal in doc_id and text, and rows of one
+doc_id with near texts, leave one; different texts of one doc_id all stay.  Columns beside
+doc_id and text, whatever their names, are carried along.  An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
