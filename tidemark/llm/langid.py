@@ -58,32 +58,26 @@ class ByteGRU:
         for d in "fb":
             self.p |= {f"w{d}": draw(embed, 3 * hidden), f"u{d}": draw(hidden, 2 * hidden), f"v{d}": draw(hidden, hidden), f"c{d}": np.zeros(3 * hidden, np.float32)}
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool) -> tuple[np.ndarray, list]:
-        """States after each position of x [time, batch, 3h]; where mask is 0 the state stays."""
+    def _run(self, x: np.ndarray, mask: np.ndarray, d: str) -> tuple[np.ndarray, np.ndarray]:
+        """States after each position of x [time, batch, 3h], where mask is 0 the state stays; and for learning, by position, the state before, both gates and the new state."""
         h, p, steps = self.h, self.p, x.shape[0]
         state = np.zeros((x.shape[1], h), np.float32)
-        out, saved = np.empty((steps, x.shape[1], h), np.float32), []
+        out, saved = np.empty((steps, x.shape[1], h), np.float32), np.empty((4, steps, x.shape[1], h), np.float32)
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
             zr = _sigmoid(x[t, :, : 2 * h] + state @ p[f"u{d}"])
             z, r = zr[:, :h], zr[:, h:]
             n = np.tanh(x[t, :, 2 * h :] + (r * state) @ p[f"v{d}"])
-            new = state + mask[t][:, None] * z * (n - state)
-            if keep:
-                saved.append((t, state, z, r, n))
-            state = out[t] = new
+            saved[0, t], saved[1, t], saved[2, t], saved[3, t] = state, z, r, n
+            state = out[t] = state + mask[t][:, None] * z * (n - state)
         return out, saved
 
-    def forward(self, bytes_: np.ndarray, mask: np.ndarray, keep: bool = False) -> tuple[np.ndarray, dict]:
-        """Log-probabilities [time, batch, classes] of bytes_ [time, batch]."""
+    def forward(self, bytes_: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, dict]:
+        """Log-probabilities [time, batch, classes] of bytes_ [time, batch], and what learning needs."""
         p = self.p
         emb = p["emb"][bytes_]
         saved, both = {"emb": emb}, []
         for d in "fb":
-            if keep:
-                x = emb @ p[f"w{d}"] + p[f"c{d}"]
-            else:
-                x = (p["emb"] @ p[f"w{d}"] + p[f"c{d}"])[bytes_]
-            out, saved[d] = self._run(x, mask, d, keep)
+            out, saved[d] = self._run(emb @ p[f"w{d}"] + p[f"c{d}"], mask, d)
             both.append(out)
         hidden = np.concatenate(both, axis=2)
         logits = hidden @ p["out"] + p["bias"]
@@ -93,39 +87,47 @@ class ByteGRU:
         return logp, saved
 
     def read(self, bytes_: np.ndarray, mask: np.ndarray | None) -> np.ndarray:
-        """forward's log-probabilities, without what learning needs, in buffers that are used again. mask None: all ones."""
+        """forward's log-probabilities, without what learning needs. mask None: all ones.
+
+        Widths come before the batch here, so that every operation runs along the batch, in
+        buffers that are used again; signs and factors of the exponents stand in the weights.
+        """
         p, h, (steps, n) = self.p, self.h, bytes_.shape
-        both = []
-        for d in "fb":
-            table = p["emb"] @ p[f"w{d}"] + p[f"c{d}"]
-            gates, new = np.ascontiguousarray(-table[:, : 2 * h]), np.ascontiguousarray(table[:, 2 * h :])
-            u, v = -p[f"u{d}"], p[f"v{d}"]
-            state, out = np.zeros((n, h), np.float32), np.empty((steps, n, h), np.float32)
-            zr, c, reset = np.empty((n, 2 * h), np.float32), np.empty((n, h), np.float32), np.empty((n, h), np.float32)
-            for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-                np.matmul(state, u, out=zr)
-                zr += gates[bytes_[t]]
-                np.exp(zr, out=zr)
-                zr += 1
-                np.reciprocal(zr, out=zr)
-                np.multiply(zr[:, h:], state, out=reset)
-                np.matmul(reset, v, out=c)
-                c += new[bytes_[t]]
-                np.tanh(c, out=c)
-                c -= state
-                c *= zr[:, :h]
-                if mask is not None:
-                    c *= mask[t][:, None]
-                state = np.add(state, c, out=out[t])
-            both.append(out)
-        logits = both[0] @ p["out"][:h] + both[1] @ p["out"][h:] + p["bias"]
-        logits -= logits.max(axis=2, keepdims=True)
-        return logits - np.log(np.exp(logits).sum(axis=2, keepdims=True))
+        logits = np.broadcast_to(p["bias"][:, None], (steps, len(p["bias"]), n)).copy()
+        zr, new, reset, x = (np.empty((k * h, n), np.float32) for k in (2, 1, 1, 3))
+        for i, d in enumerate("fb"):
+            table = (p["emb"] @ p[f"w{d}"] + p[f"c{d}"]) * np.repeat(np.float32([-1, -1, -2]), h)
+            u, v = np.ascontiguousarray(-p[f"u{d}"].T), np.ascontiguousarray(-2 * p[f"v{d}"].T)
+            state, out = np.zeros((h, n), np.float32), np.empty((steps, h, n), np.float32)
+            with np.errstate(over="ignore"):  # an infinite exponential is a gate of 0, or a state of -1
+                for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
+                    x[:] = table[bytes_[t]].T
+                    np.matmul(u, state, out=zr)
+                    zr += x[: 2 * h]
+                    np.exp(zr, out=zr)
+                    zr += 1
+                    np.reciprocal(zr, out=zr)
+                    np.multiply(zr[h:], state, out=reset)
+                    np.matmul(v, reset, out=new)
+                    new += x[2 * h :]
+                    np.exp(new, out=new)
+                    new += 1
+                    np.divide(2, new, out=new)
+                    new -= 1
+                    new -= state
+                    new *= zr[:h]
+                    if mask is not None:
+                        new *= mask[t]
+                    state = np.add(state, new, out=out[t])
+            logits += np.matmul(np.ascontiguousarray(p["out"][i * h : (i + 1) * h].T), out)
+        logits -= logits.max(axis=1, keepdims=True)
+        logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
+        return np.moveaxis(logits, 1, 2)
 
     def gradients(self, bytes_: np.ndarray, mask: np.ndarray, label: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss over positions, and its gradients by backpropagation through time."""
         p, h = self.p, self.h
-        logp, saved = self.forward(bytes_, mask, keep=True)
+        logp, saved = self.forward(bytes_, mask)
         n = max(1.0, float(mask.sum()))
         classes = np.arange(p["bias"].shape[0])
         target = (label[None, :, None] == classes).astype(np.float32)
@@ -136,22 +138,25 @@ class ByteGRU:
         g["bias"] = d_logits.sum((0, 1))
         d_hidden = d_logits @ p["out"].T
         d_emb = np.zeros_like(saved["emb"])
+        flat = lambda a: a.reshape(-1, a.shape[-1])
+        m = mask[:, :, None]
         for i, d in enumerate("fb"):
-            d_out, carry = d_hidden[:, :, i * h : (i + 1) * h], np.zeros((bytes_.shape[1], h), np.float32)
-            for t, state, z, r, c in reversed(saved[d]):
-                d_new = carry + d_out[t]
-                m = mask[t][:, None]
-                dz, dc = d_new * m * (c - state), d_new * m * z
-                dc_in = dc * (1 - c * c)
-                d_rs = dc_in @ p[f"v{d}"].T
-                d_zr = np.concatenate([dz * z * (1 - z), d_rs * state * r * (1 - r)], axis=1)
-                dx = np.concatenate([d_zr, dc_in], axis=1)
-                carry = d_new * (1 - m * z) + d_rs * r + d_zr @ p[f"u{d}"].T
-                g[f"u{d}"] += state.T @ d_zr
-                g[f"v{d}"] += (r * state).T @ dc_in
-                g[f"w{d}"] += saved["emb"][t].T @ dx
-                g[f"c{d}"] += dx.sum(0)
-                d_emb[t] += dx @ p[f"w{d}"].T
+            state, z, r, c = saved[d]
+            u, v = np.ascontiguousarray(p[f"u{d}"].T), np.ascontiguousarray(p[f"v{d}"].T)
+            to_z, to_r, to_c, stays = m * (c - state) * z * (1 - z), state * r * (1 - r), m * z * (1 - c * c), 1 - m * z
+            d_out, carry = d_hidden[:, :, i * h : (i + 1) * h], np.float32(0)
+            dx = np.empty((*bytes_.shape, 3 * h), np.float32)
+            for t in range(len(bytes_) - 1, -1, -1) if d == "f" else range(len(bytes_)):
+                d_new, at = carry + d_out[t], dx[t]
+                at[:, 2 * h :] = d_new * to_c[t]
+                d_rs = at[:, 2 * h :] @ v
+                at[:, :h], at[:, h : 2 * h] = d_new * to_z[t], d_rs * to_r[t]
+                carry = d_new * stays[t] + d_rs * r[t] + at[:, : 2 * h] @ u
+            g[f"u{d}"] = flat(state).T @ flat(dx[:, :, : 2 * h])
+            g[f"v{d}"] = flat(r * state).T @ flat(dx[:, :, 2 * h :])
+            g[f"w{d}"] = flat(saved["emb"]).T @ flat(dx)
+            g[f"c{d}"] = dx.sum((0, 1))
+            d_emb += dx @ p[f"w{d}"].T
         np.add.at(g["emb"], bytes_, d_emb)
         return loss, g
 
