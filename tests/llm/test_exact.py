@@ -362,6 +362,28 @@ def test_near_copies(spark):
     assert {r.doc_id for r in keep_one_of_each(docs).collect()} == set(want.values())
 
 
+def test_components_of_few_edges_take_few_jobs(spark, monkeypatch):
+    from tidemark.llm import components
+    from tidemark.llm.storage import Scratch
+
+    rng = random.Random(4)
+    chain = rng.sample(range(10**12), 400)
+    rows = [*zip(chain, chain[1:]), *((rng.randrange(300), rng.randrange(300)) for _ in range(150)), (7, 7), (5, None), (None, 5), (1, 2), (2, 1)]
+    edges = [(a, b) for a, b in rows if None not in (a, b) and a != b]
+    want = base(edges, {n for e in edges for n in e})
+    context, jobs = spark.sparkContext, {}
+    for local in (components.LOCAL_EDGES, 100):
+        monkeypatch.setattr(components, "LOCAL_EDGES", local)
+        context.setJobGroup(f"components-{local}", "")
+        with Scratch(spark, "components") as scratch:
+            table = spark.createDataFrame(rows, "a bigint, b bigint")
+            assert dict(map(tuple, components.connected_components(table, scratch).collect())) == want
+            assert components.connected_components(table.where("a = b"), scratch).collect() == []
+        jobs[local] = len(context.statusTracker().getJobIdsForGroup(f"components-{local}"))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[components.LOCAL_EDGES] > 20 > jobs[250_000]
+
+
 def test_near_copies_that_repeat_a_passage(spark):
     rng = random.Random(11)
     rows = []

@@ -95,6 +95,24 @@ def test_quality(spark):
     assert np.mean([r.kept for r in tested]) > 0.9
 
 
+def test_training_holds_little_beside_its_sample():
+    """The driver trains next to a JVM that may take half of its memory."""
+    import tracemalloc
+
+    from tidemark.llm import langid, quality
+
+    rng = np.random.default_rng(2)
+    words = ["".join(map(chr, rng.integers(97, 123, n))) for n in rng.integers(2, 8, 20_000)]
+    texts = [" ".join(words[i] for i in rng.integers(0, len(words), 3500)) for _ in range(200)]
+    size, most = sum(map(len, texts)), {}
+    for name, run in (("language", lambda: langid.train(texts, ["en", "de"] * 100, langid.Training(steps=2))), ("quality", lambda: quality.train(list(zip(texts, [0, 1] * 100, strict=True)), quality.Training(steps=2)))):
+        tracemalloc.start()
+        run()
+        most[name] = tracemalloc.get_traced_memory()[1] / size
+        tracemalloc.stop()
+    assert most["language"] < 16 and most["quality"] < 28, most
+
+
 def test_windows_cover_texts_once_and_read_alike():
     import pyarrow as pa
 

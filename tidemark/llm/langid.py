@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.linear import held_out
+from tidemark.llm.linear import give_back, held_out
 from tidemark.llm.storage import bounded_batches
 from tidemark.llm.textvec import Texts, slices
 
@@ -203,7 +203,9 @@ def train(texts: list[str], labels: list[str], how: Training = Training()) -> La
     """Fit on (text, language) pairs; windows are drawn alike from each language. Texts without a word teach nothing, nor does a language that has no others."""
     t = Texts(pa.array(texts, pa.large_string()))
     start, end, _, _, doc = windows(t)
-    used = np.isin(doc, t.words()[2])
+    # a slice at a time: the places of all words would take many times the texts' own memory
+    worded_docs = np.concatenate([np.empty(0, int), *(at + np.unique(Texts(part).words()[2]) for at, part in slices(pa.array(texts, pa.large_string()), 1 << 18))])
+    used = np.isin(doc, worded_docs)
     start, end, doc = start[used], end[used], doc[used]
     worded = [labels[i] for i in np.unique(doc)]
     languages = sorted(set(worded))
@@ -257,7 +259,9 @@ def training_sample(docs: DataFrame, how: Training) -> tuple[list[str], list[str
 
 
 def train_on(docs: DataFrame, how: Training = Training()) -> LanguageModel:
-    return train(*training_sample(docs, how), how)
+    model = train(*training_sample(docs, how), how)
+    give_back()
+    return model
 
 
 def identify(docs: DataFrame, model: LanguageModel | None = None) -> DataFrame:

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Entries that are multiplied at once: the results of each operation are that long, not as long as the sample.
+BLOCK = 1 << 17
+
 
 def held_out() -> Column:
     """crc32 of the id as text, mod 5, is 0. A null id counts as not held out, and is never learned from."""
@@ -28,6 +34,23 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int,
     return [(r["text"], int(r["__label"])) for r in rows.orderBy("doc_id").collect()]
 
 
+def give_back() -> None:
+    """Return freed memory to the system, after training on the driver: the allocators would keep it while the JVM beside them grows."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim is not None:
+        trim(0)
+
+
+def summed_by(by: np.ndarray, of: np.ndarray, value: np.ndarray, factor: np.ndarray, size: int) -> np.ndarray:
+    """np.bincount(by, value * factor[of], size), a block of entries at a time; added in the same order, so the sums are the same."""
+    total = np.zeros(size)
+    for at in range(0, len(by), BLOCK):
+        part = slice(at, at + BLOCK)
+        np.add.at(total, by[part].astype(np.intp), value[part] * factor[of[part]])
+    return total
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
@@ -39,8 +62,8 @@ def fit_logistic(doc: np.ndarray, feature: np.ndarray, value: np.ndarray, n_docs
     w, bias = np.zeros(n_features), float(np.log((weight @ target + 1e-3) / (weight @ (1 - target) + 1e-3)))
     m, v, mb, vb = np.zeros(n_features), np.zeros(n_features), 0.0, 0.0
     for step in range(1, steps + 1):
-        error = weight * (sigmoid(np.bincount(doc, value * w[feature], n_docs) + bias) - target)
-        g, gb = np.bincount(feature, value * error[doc], n_features) + l2 * w, float(error.sum())
+        error = weight * (sigmoid(summed_by(doc, feature, value, w, n_docs) + bias) - target)
+        g, gb = summed_by(feature, doc, value, error, n_features) + l2 * w, float(error.sum())
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         scale = rate * np.sqrt(1 - 0.99**step) / (1 - 0.9**step)
         w -= scale * m / (np.sqrt(v) + 1e-8)

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.linear import fit_logistic, fit_platt, held_out, labelled_sample, sigmoid
+from tidemark.llm.linear import fit_logistic, fit_platt, give_back, held_out, labelled_sample, sigmoid, summed_by
 from tidemark.llm.storage import bounded_batches
 from tidemark.llm.textvec import Texts, repeated, slices, windows
 
@@ -75,13 +75,18 @@ def entries(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def summed(texts: list[str]) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
     """(number of texts, text, bucket, value): entries summed by text and bucket, a small slice of texts at a time, so that the driver never holds one for each character."""
-    parts = []
-    for at, part in slices(pa.array(texts, pa.large_string()), 1 << 18):
+    docs, features, values = [], [], []
+    for at, part in slices(pa.array(texts, pa.large_string()), 1 << 17):
         doc, feature, value = entries(Texts(part))
         pair, inverse = np.unique(doc * (2 * BUCKETS) + feature, return_inverse=True)
-        parts.append((at + pair // (2 * BUCKETS), pair % (2 * BUCKETS), np.bincount(inverse, value, len(pair))))
-    doc, feature, value = (np.concatenate([p[k] for p in parts]) for k in range(3))
-    return len(texts), doc, feature, value
+        docs.append((at + pair // (2 * BUCKETS)).astype(np.int32))
+        features.append((pair % (2 * BUCKETS)).astype(np.int32))
+        values.append(np.bincount(inverse, value, len(pair)))
+    columns = []
+    for parts in (docs, features, values):
+        columns.append(np.concatenate(parts))
+        parts.clear()
+    return len(texts), *columns
 
 
 def measures(t: Texts) -> dict[str, np.ndarray]:
@@ -124,19 +129,21 @@ def train(rows: list[tuple[str, int]], how: Training = Training()) -> QualityMod
     apart = np.random.default_rng(3).random(len(rows)) < how.calibrate
     if min(y[~apart].sum(), (1 - y[~apart]).sum()) < 2 or y[apart].min(initial=1) == y[apart].max(initial=0):
         apart[:] = False
-    parts = []
-    for keep in (~apart, apart if apart.any() else ~apart):
-        parts.append((*summed([rows[i][0] for i in np.flatnonzero(keep)]), y[keep]))
-    n, doc, feature, value, target = parts[0]
-    w, bias = fit_logistic(doc, feature, value, n, 2 * BUCKETS, target, steps=how.steps, rate=0.05, l2=1e-6)
-    n, doc, feature, value, target = parts[1]
-    a, b = fit_platt(np.bincount(doc, value * w[feature], n) + bias, target)
+    part = lambda keep: summed([rows[i][0] for i in np.flatnonzero(keep)])
+    n, doc, feature, value = part(~apart)
+    w, bias = fit_logistic(doc, feature, value, n, 2 * BUCKETS, y[~apart], steps=how.steps, rate=0.05, l2=1e-6)
+    keep = apart if apart.any() else ~apart
+    del doc, feature, value
+    n, doc, feature, value = part(keep)
+    a, b = fit_platt(summed_by(doc, feature, value, w, n) + bias, y[keep])
     return QualityModel(w.astype(np.float32), bias, a, b)
 
 
 def train_on(docs: DataFrame, labels: DataFrame, how: Training = Training()) -> QualityModel | None:
     """Learns from rows that are not held out, as the other classifiers do."""
-    return train(labelled_sample(docs, labels, "quality", how.docs, how.max_chars, ~held_out()), how)
+    model = train(labelled_sample(docs, labels, "quality", how.docs, how.max_chars, ~held_out()), how)
+    give_back()
+    return model
 
 
 def _shared(docs: DataFrame, model: QualityModel | None):

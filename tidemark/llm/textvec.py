@@ -27,7 +27,7 @@ _powers = {"n": 0, "up": np.empty(0, np.uint64), "down": np.empty(0, np.uint64)}
 
 def _grown_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if _powers["n"] < n:
-        size = max(n, SLICE_BYTES + 1024)
+        size = -(-n >> 18) << 18  # small slices, as training takes on the driver, need short tables
         with np.errstate(over="ignore"):
             for name, base in (("up", _BASE), ("down", _INVERSE)):
                 p = np.full(size, base, np.uint64)
