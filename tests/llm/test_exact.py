@@ -295,6 +295,15 @@ def test_bpe(spark, tokenizer):
         assert got[i].decoded_sha256 == hashlib.sha256(back.encode()).hexdigest()
 
 
+def test_no_id_depends_on_the_lexicon(spark):
+    """The words counted in a sample are merged beforehand; with none of them, or others, every row is the same."""
+    from tidemark.llm.bpe import Lexicon, encode_documents
+
+    docs = spark.createDataFrame(list(enumerate(odd_texts())), DOCS)
+    got = [sorted(map(tuple, encode_documents(docs, tokenizer_path(), how).collect())) for how in (Lexicon(), Lexicon(sample_docs=0), Lexicon(sample_docs=3), Lexicon(words=5))]
+    assert len(got[0]) == len(odd_texts()) and all(rows == got[0] for rows in got[1:])
+
+
 RUNS = {"spaces": " " * 3_000_000, "line ends": "\n" * 1_200_000 + "x", "letters": "ab" * 600_000, "digits": "7" * 1_200_000, "symbols": "#!" * 600_000, "special": "a" + " " * 1_100_000 + "<|endoftext|> b"}
 
 
