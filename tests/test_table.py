@@ -206,3 +206,11 @@ def test_deletes_do_not_shuffle_the_base(spark, tmp_path):
     plan = t.read()._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastExchange" in plan and "hashpartitioning" not in plan
     assert t.read(prune={"id": (10, 19)}).count() == 10 and not t.read(prune={"id": (1000, None)}).count()
+
+
+def test_thresholds_query_holds_for_tables_of_any_size(spark, tmp_path):
+    """A fiftieth of 6,000 customers is more than 100 rows, which was the threshold whatever the table."""
+    from tidemark.plans import QUERIES
+
+    spark.range(6000).selectExpr("id AS c_custkey", "'S' AS c_mktsegment").write.parquet(str(tmp_path / "customer.parquet"))
+    assert tuple(QUERIES["e43_thresholds"](spark, str(tmp_path)).first()) == (2, 6000, 120)

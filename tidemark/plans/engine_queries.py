@@ -391,9 +391,9 @@ def e42(spark, sf_dir):
 
 @query("e43_thresholds", "SELECT 2::BIGINT AS flushed_lsn, (SELECT count(*) FROM customer) AS persisted, (SELECT count(*) FROM customer WHERE c_custkey % 50 = 0) AS buffered")
 def e43(spark, sf_dir):
-    """A tick flushes when enough rows are buffered, and leaves fewer in the log."""
+    """A tick flushes when enough rows are buffered, and leaves fewer in the log. Enough is as many as there are customers: of any number, a fiftieth is fewer."""
     c = _t(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
-    table = Table.create(spark, scratch_path(spark, "table"), c.schema, Identity.key("c_custkey"), policy.TableConfig(mem_slice_rows=100))
+    table = Table.create(spark, scratch_path(spark, "table"), c.schema, Identity.key("c_custkey"), policy.TableConfig(mem_slice_rows=max(1, c.count())))
     table.append(c, 1)
     table.commit(2)
     table.tick()
