@@ -83,3 +83,18 @@ def test_unique_keys_path_needs_no_window(spark):
     log = cl.upserts(spark.createDataFrame([(1, 5)], "k int, v int"), 1)
     plan = cl.reduce(log, Identity.key("k"), unique_keys=True)._jdf.queryExecution().toString()
     assert "Window" not in plan
+
+
+def test_matching_has_no_frame_up_to_the_end_of_a_key(spark):
+    """Spark computes a frame up to UNBOUNDED FOLLOWING anew for each row: a key's time was the square of its rows."""
+    d = spark.createDataFrame([(1, 1)], "k int, v int")
+    plan = cl.reduce(cl.appends(d, 1).unionByName(cl.deletes(d, 2)), Identity.key("k"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "unboundedfollowing" not in plan.lower() and "unboundedpreceding" in plan.lower()
+
+
+def test_equal_positions_of_one_key_lose_one_row_a_delete(spark):
+    """40,000 appends of one (lsn, seq): their order is open, and the count isn't."""
+    a = spark.range(40_000).selectExpr("CAST(NULL AS int) AS k", "CAST(id AS int) AS v")
+    gone = cl.deletes(a.where("v < 7"), 2)
+    kept = cl.reduce(cl.appends(a, 1).unionByName(gone).unionByName(cl.appends(a.where("v < 3"), 3)), Identity.key("k"))
+    assert kept.count() == 40_000 - 7 + 3

@@ -164,11 +164,14 @@ def matched(events: DataFrame, keys: list[Column], strict: bool = False) -> Data
     number of live rows, because a delete that finds none is a no-op.  The append that
     brought the number to L survives when it never falls below L again: deletes take the
     latest row first.  Nulls in keys are equal to nulls, as partitioning has them.
+
+    The lowest L later on is taken along the reversed order: a frame that only grows takes
+    one step a row, where Spark computes one up to the partition's end anew for each row.
     """
     order = (F.col("lsn"), F.col("seq"), F.when(F.col("op") == "D", 0).otherwise(1))
     upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    later = Window.partitionBy(*keys).orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
-    out = events.withColumn("__s", F.sum(F.when(F.col("op") == "A", 1).otherwise(-1)).over(upto))
+    later = Window.partitionBy(*keys).orderBy(F.desc("__n")).rowsBetween(Window.unboundedPreceding, -1)
+    out = events.withColumns({"__s": F.sum(F.when(F.col("op") == "A", 1).otherwise(-1)).over(upto), "__n": F.row_number().over(upto)})
     if strict:
         # optional deletes are no-ops where nothing is live; a strict one must never go below the floor
         floor = F.coalesce(F.min("__s").over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -177,4 +180,4 @@ def matched(events: DataFrame, keys: list[Column], strict: bool = False) -> Data
     out = out.withColumn("__l", F.col("__s") - F.least(F.lit(0), F.min("__s").over(upto)))
     out = out.withColumn("__low", F.min("__l").over(later))
     live = (F.col("op") == "A") & (F.col("__low").isNull() | (F.col("__low") >= F.col("__l")))
-    return out.withColumn("__live", live).drop("__s", "__l", "__low")
+    return out.withColumn("__live", live).drop("__s", "__n", "__l", "__low")
