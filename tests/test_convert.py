@@ -112,6 +112,26 @@ def test_delete_vector_blob(spark):
         delete_vectors.decode(spark, blob[:-1] + bytes([blob[-1] ^ 1]))
 
 
+def test_blobs_of_tasks_are_those_of_the_bitmap_classes(spark):
+    sets = {
+        "few": [0, 5, 6, 7, 1 << 33], "one": [70000], "last": [(1 << 40) - 1], "run": list(range(100, 9000)), "edge": list(range(3)) + [1 << 16], "array": list(range(0, 8192, 2)), "bitset": list(range(0, 8194, 2)), "full": list(range(1 << 16)),
+        "pairs": [x for i in range(0, 60000, 4) for x in (i, i + 1)], "many": [i << 16 | j for i in range(6) for j in range(i + 1)], "mixed": list(range(70000)) + list(range(140000, 260000, 3)) + [1 << 34, (1 << 34) + 1], "high": [-1, 5, -(1 << 40)],
+    }
+    rows = spark.createDataFrame([(f, r) for f, s in sets.items() for r in s] + [(None, 3), ("few", 5), ("few", None)], "file string, row_index bigint")
+    got = delete_vectors.blobs(rows.repartition(3)).cache()
+    assert {r["file"]: bytes(r["blob"]) for r in got.collect()} == {f: delete_vectors.encode(spark, s) for f, s in {**sets, None: [3]}.items()}
+    back = delete_vectors.positions(got).collect()
+    assert len(back) == sum(map(len, sets.values())) + 1 and {tuple(r) for r in back} == {(f, r) for f, s in sets.items() for r in s} | {(None, 3)}
+    damaged = got.where("file = 'few'").selectExpr("file", "substr(blob, 1, length(blob) - 1) AS blob")
+    with pytest.raises(Exception, match="damaged"):
+        delete_vectors.positions(damaged).collect()
+
+
+def test_blobs_leave_the_positions_in_tasks(spark):
+    rows = spark.range(3).selectExpr("'f' AS file", "id AS row_index")
+    assert "LocalTableScan" not in delete_vectors.positions(delete_vectors.blobs(rows))._jdf.queryExecution().executedPlan().toString()
+
+
 def test_copy_text(spark):
     lines = spark.createDataFrame([("1\ta\\tb\\\\n\tt",), ("2\t\\N\tf",)], "value string")
     got = cdc.copy_text(lines, [("id", "int4"), ("name", "text"), ("ok", "bool")]).collect()
