@@ -1,5 +1,6 @@
 """Streams into tables."""
 
+import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,6 +44,45 @@ def test_transactions_are_held_until_their_commit(spark, tmp_path):
     assert [(r["xact_id"], r["lsn"], r["payload"]) for r in got] == [(1, 9, '{"k":1,"v":1}')]
 
 
+class State(dict):
+    """A map and a value state, in memory."""
+
+    updateValue, getValue = dict.__setitem__, dict.get  # noqa: N815
+
+    def removeKey(self, key):  # noqa: N802
+        del self[key]
+
+    def update(self, value):
+        self["v"] = value
+
+    def get(self, key="v"):
+        return dict.get(self, key)
+
+
+def test_a_transaction_is_never_in_memory_as_a_whole():
+    class Handle:
+        def __init__(self):
+            self.rows, self.count = State(), State()
+
+        getMapState = lambda self, *_: self.rows  # noqa: E731, N815
+        getValueState = lambda self, *_: self.count  # noqa: E731, N815
+
+    rows = lambda a, b: pd.DataFrame({"op": "A", "lsn": range(a, b), "seq": 0, "payload": [None if i % 2 else f"p{i}" for i in range(a, b)]})
+    end = lambda op: pd.DataFrame({"op": [op], "lsn": [99], "seq": [0], "payload": [None]})
+    for op in ("C", "X"):
+        handle, hold = Handle(), transactions.HoldUntilCommit()
+        hold.init(handle)
+        assert not list(hold.handleInputRows((7,), iter([rows(0, 25_000), rows(25_000, 25_001)]), None))
+        out = list(hold.handleInputRows((7,), iter([end(op), rows(25_001, 25_005)]), None))
+        assert not handle.rows and not handle.count
+        if op == "X":
+            assert not out
+            continue
+        assert max(map(len, out)) <= 10_000
+        got = pd.concat(out)
+        assert got["payload"].tolist() == rows(0, 25_005)["payload"].tolist() and set(got["lsn"]) == {99} and set(got["xact_id"]) == {7}
+
+
 def test_replay_and_truncation(spark):
     log = cl.appends(spark.createDataFrame([(1, 1)], SCHEMA), 4).unionByName(cl.appends(spark.createDataFrame([(2, 2)], SCHEMA), 6))
     assert [r["lsn"] for r in wal.replay(log, 4).collect()] == [6]
