@@ -67,6 +67,13 @@ def test_json_rows(spark):
     assert sorted(r["error"] for r in errors.collect()) == sorted([e for _, e in bad] + ["not a JSON object"] * 2)
 
 
+def test_a_line_is_parsed_once(spark):
+    schema = ty.struct_from_fields([{"name": "id", "data_type": "int64"}, {"name": "tags", "data_type": "list", "item": {"data_type": "string"}}])
+    rows, _ = json_rows.rows_and_errors(spark.range(2).selectExpr("CAST(id AS string) AS value"), schema)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("parsejson") + plan.count("parse_json") == 1
+
+
 def test_schemas():
     s = ty.struct_from_fields([{"name": "a", "data_type": "Int64"}, {"name": "s", "data_type": "struct", "fields": [{"name": "b", "data_type": "text"}]}, {"name": "c", "data_type": "bool"}])
     assert [s["a"].metadata["field_id"], s["s"].metadata["field_id"], s["s"].dataType["b"].metadata["field_id"], s["c"].metadata["field_id"]] == [0, 1, 2, 3]

@@ -214,3 +214,18 @@ def test_thresholds_query_holds_for_tables_of_any_size(spark, tmp_path):
 
     spark.range(6000).selectExpr("id AS c_custkey", "'S' AS c_mktsegment").write.parquet(str(tmp_path / "customer.parquet"))
     assert tuple(QUERIES["e43_thresholds"](spark, str(tmp_path)).first()) == (2, 6000, 120)
+
+
+def test_appends_alone_are_read_without_matching(spark, tmp_path):
+    t = make(spark, tmp_path)
+    t.append(frame(spark, [(1, "a", 1), (1, "a", 1)]), 1)
+    t.commit(2)
+    assert read(t) == Counter({(1, "a", 1): 2})
+    assert "Window" not in t.read()._jdf.queryExecution().optimizedPlan().toString()
+    t.flush()
+    t.append(frame(spark, [(2, "b", 2)]), 3)
+    t.commit(4)
+    assert read(t) == Counter({(1, "a", 1): 2, (2, "b", 2): 1})
+    t.delete(spark.createDataFrame([(1,)], "id int"), 5)
+    t.commit(6)
+    assert read(t) == Counter({(1, "a", 1): 1, (2, "b", 2): 1})

@@ -4,10 +4,15 @@ Each value is a (value, error) pair; an error is a text with the value's path, s
 `a.item[1]: expected int32`.  The first error in declaration order counts.  A missing
 top-level field is an error even if nullable; a missing nullable child of a struct is
 null; a list is never null; a decimal is written as a string; unknown fields are ignored.
+
+What is used more than once is bound to a lambda's variable (`_let`): written twice into the
+expression, a line would be parsed, and a value got, dozens of times.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,8 +26,13 @@ def _kind(v: Column) -> Column:
     return F.schema_of_variant(v)
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), the value being computed once."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def _pair(ok: Column, value: Column, path: Column, what: str) -> Column:
-    return F.struct(F.when(ok, value).alias("value"), F.when(~F.coalesce(ok, F.lit(False)), F.concat(path, F.lit(f": expected {what}"))).alias("error"))
+    return _let(F.coalesce(ok, F.lit(False)), lambda ok: F.struct(F.when(ok, value).alias("value"), F.when(~ok, F.concat(path, F.lit(f": expected {what}"))).alias("error")))
 
 
 def _text(v: Column, kind: T.DataType, value: Column, path: Column, what: str) -> Column:
@@ -58,16 +68,29 @@ def _value(v: Column, kind: T.DataType, path: Column, meta: dict) -> Column:
         return _text(v, kind, F.timestamp_micros(scalars.timestamp_micros(plain)).cast("timestamp_ntz"), path, "timestamp")
     if isinstance(kind, T.ArrayType):
         items = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda e, i: _nullable(e, T.StructField("item", kind.elementType, kind.containsNull), F.concat(path, F.lit(".item["), i.cast("string"), F.lit("]"))))
-        bad = F.filter(items, lambda x: x["error"].isNotNull())
-        error = F.when(~_kind(v).startswith("ARRAY"), F.concat(path, F.lit(": expected list"))).otherwise(F.get(bad, 0)["error"])
-        return F.struct(F.when(error.isNull(), F.transform(items, lambda x: x["value"])).alias("value"), error.alias("error"))
+
+        def listed(items: Column) -> Column:
+            bad = F.filter(items, lambda x: x["error"].isNotNull())
+            error = F.when(~_kind(v).startswith("ARRAY"), F.concat(path, F.lit(": expected list"))).otherwise(F.get(bad, 0)["error"])
+            return _let(error, lambda error: F.struct(F.when(error.isNull(), F.transform(items, lambda x: x["value"])).alias("value"), error.alias("error")))
+
+        return _let(items, listed)
     if isinstance(kind, T.StructType):
         parts = [_child(v, f, F.concat(path, F.lit(f".{f.name}"))) for f in kind.fields]
-        error = F.when(~_kind(v).startswith("OBJECT"), F.concat(path, F.lit(": expected struct"))).otherwise(F.coalesce(*[p["error"] for p in parts]))
-        return F.struct(F.when(error.isNull(), F.struct(*[p["value"].alias(f.name) for p, f in zip(parts, kind.fields, strict=True)])).alias("value"), error.alias("error"))
+        return _joined(~_kind(v).startswith("OBJECT"), F.concat(path, F.lit(": expected struct")), parts, kind)
     raise TypeError(f"no conversion to {kind}")
 
 
+def _joined(wrong: Column, what: Column, parts: list[Column], kind: T.StructType) -> Column:
+    """The pair of a struct whose fields' pairs are parts; the error is `what` where it is wrong itself."""
+    def done(p: Column) -> Column:
+        error = F.when(wrong, what).otherwise(F.coalesce(*[p[f"_{i}"]["error"] for i in range(len(parts))]))
+        row = F.struct(*[p[f"_{i}"]["value"].alias(f.name) for i, f in enumerate(kind.fields)])
+        return _let(error, lambda error: F.struct(F.when(error.isNull(), row).alias("value"), error.alias("error")))
+
+    return _let(F.struct(*[p.alias(f"_{i}") for i, p in enumerate(parts)]), done)
+
+
 def _empty(kind: T.DataType, error: Column) -> Column:
     return F.struct(F.lit(None).cast(kind).alias("value"), error.cast("string").alias("error"))
 
@@ -80,24 +103,26 @@ def _nullable(v: Column, f: T.StructField, path: Column) -> Column:
 
 
 def _child(v: Column, f: T.StructField, path: Column) -> Column:
-    own = F.try_variant_get(v, f'$["{f.name}"]', "variant")
     missing = F.lit(None) if f.nullable else F.concat(path, F.lit(": missing"))
-    return F.when(own.isNull(), _empty(f.dataType, missing)).otherwise(_nullable(own, f, path))
+    return _got(v, f, missing, path)
+
+
+def _got(v: Column, f: T.StructField, missing: Column, path: Column) -> Column:
+    return _let(F.try_variant_get(v, f'$["{f.name}"]', "variant"), lambda own: F.when(own.isNull(), _empty(f.dataType, missing)).otherwise(_nullable(own, f, path)))
 
 
 def convert(text: Column, schema: T.StructType) -> Column:
     """struct(value struct<schema>, error string) of JSON text."""
-    v = F.try_parse_json(text)
-    parts = []
-    for f in schema.fields:
-        own = F.try_variant_get(v, f'$["{f.name}"]', "variant")
-        parts.append(F.when(own.isNull(), _empty(f.dataType, F.lit(f"{f.name}: missing"))).otherwise(_nullable(own, f, F.lit(f.name))))
-    error = F.when(v.isNull() | ~_kind(v).startswith("OBJECT"), "not a JSON object").otherwise(F.coalesce(*[p["error"] for p in parts]))
-    row = F.struct(*[p["value"].alias(f.name) for p, f in zip(parts, schema.fields, strict=True)])
-    return F.struct(F.when(error.isNull(), row).alias("value"), error.alias("error"))
+
+    def done(v: Column) -> Column:
+        parts = [_got(v, f, F.lit(f"{f.name}: missing"), F.lit(f.name)) for f in schema.fields]
+        return _joined(v.isNull() | ~_kind(v).startswith("OBJECT"), F.lit("not a JSON object"), parts, schema)
+
+    return _let(F.try_parse_json(text), done)
 
 
 def rows_and_errors(lines: DataFrame, schema: T.StructType, column: str = "value") -> tuple[DataFrame, DataFrame]:
     """(typed rows, rejected lines with their errors)."""
-    done = lines.select(F.col(column).alias("line"), convert(F.col(column), schema).alias("c"))
+    # a filter isn't pushed below an explode, where it would convert each line once more
+    done = lines.select(F.col(column).alias("line"), F.explode(F.array(convert(F.col(column), schema))).alias("c"))
     return done.where("c.error IS NULL").select("c.value.*"), done.where("c.error IS NOT NULL").select("line", F.col("c.error").alias("error"))

@@ -240,10 +240,10 @@ class Table:
         return out
 
     def _apply(self, m: Manifest, events: DataFrame) -> tuple[DataFrame | None, DataFrame]:
-        """(positions of persisted rows that the events remove, rows that they leave). Only persisted rows with a key among the deletes take part."""
+        """(positions of persisted rows that the events remove, rows that they leave). Only persisted rows with a key among the deletes take part; without any delete all appends stay."""
         identity = self._identity(m)
-        if identity.kind == "append_only":
-            return None, cl.reduce(events, identity)
+        if identity.kind == "append_only" or all(w.get("deletes") == 0 for w in m.wal):
+            return None, cl.reduce(events, Identity.append_only())
         names = m.struct.names
         keys = identity.columns(names)
         touched = events.where(F.col("op") == "D").select(*[F.col(f"r.`{k}`").alias(f"__k{i}") for i, k in enumerate(keys)]).distinct()
